@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP1_SQL, op1_chat_formatting
 from .decontam import op3_benchmark_decontamination
 from .packing import op4_best_fit_packing
 from .quality import op6_quality_rules
+from .urls import OP5_SQL, op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_url_filters": op5_url_filters,
     "op6_quality_rules": op6_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": OP1_SQL,
+    "op5_url_filters": OP5_SQL,
+}
