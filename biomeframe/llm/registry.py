@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP1_SQL, op1_chat_formatting
 from .decontam import op3_benchmark_decontamination
+from .html_text import op10_html_extraction
 from .packing import op4_best_fit_packing
 from .quality import op6_quality_rules
 from .urls import OP5_SQL, op5_url_filters
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_url_filters": op5_url_filters,
     "op6_quality_rules": op6_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
