@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP1_SQL, op1_chat_formatting
 from .decontam import op3_benchmark_decontamination
 from .html_text import op10_html_extraction
+from .langid import op2_language_id
 from .packing import op4_best_fit_packing
 from .quality import op6_quality_rules
 from .urls import OP5_SQL, op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_language_id": op2_language_id,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_url_filters": op5_url_filters,
