@@ -12,6 +12,7 @@ from .html_text import op10_html_extraction
 from .langid import op2_language_id
 from .packing import op4_best_fit_packing
 from .quality import op6_quality_rules
+from .suffix import op8_substring_dedup
 from .urls import OP5_SQL, op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_url_filters": op5_url_filters,
     "op6_quality_rules": op6_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
 
