@@ -4,14 +4,16 @@ The sets are distinct 5-word shingles; two documents link at a similarity of 0.7
 is the least document reachable by links.  Every link between different texts counts.
 
 * Documents with equal sets are one class; its least document stands for it.
-* All tokens have one order: frequent ones last (counted over all documents), else by hash.  Two sets that
-  reach the threshold share a token among their first ``n - ceil(0.75 n) + 1`` ones (prefix filter).
+* All tokens have one order.  Two sets that reach the threshold share a token among their first
+  ``n - ceil(0.75 n) + 1`` ones (prefix filter), whatever the order.  Tokens are first ordered by hash, and the tokens of
+  all prefixes are counted; frequent ones go to the end of the order, and those that take their place are counted next.
   The index has, per token, the list of sets with it, sorted by size and annotated with the token's place.
-* Index-level skipping: a list is scanned in blocks of similar size and place; the places bound the overlap,
-  and blocks whose bound is too small are skipped as a whole.  Lists with equal members are scanned once.
-* Answer-level skipping: each list's first set is compared with the others (round 1).  Sets already connected derive
-  their answers from each other: in round 2 only pairs in different components are left, and known
-  similarities to a common leader rule out pairs by the triangle inequality of the Jaccard distance.
+* Index-level skipping: linked sets are found at the latest in the list of their first shared token, and there ``n - pos``
+  of either set bounds their overlap, with ``pos`` the token's place in the set's order.  Lists are scanned in blocks by
+  size; sets and blocks whose sizes or places allow no link are skipped.  Lists with equal members are scanned once.
+* Answer-level skipping: each list's most central set (least ``pos``: it has the fewest rare tokens) is compared with
+  the others (round 1).  Sets already connected derive their answers from each other: in round 2 only pairs in different
+  components are left, and known similarities to the leader rule out pairs by the triangle inequality of the distance.
 * Candidate pairs are refuted by parity bitmaps (the number of differing bits bounds the symmetric difference
   from below) and only then verified exactly on the sets.
 """
@@ -31,13 +33,13 @@ from .components import connected_components
 
 SHINGLE = 5
 NUM, DEN = 75, 100
-#: A token counted in so many documents or more goes to the end of the order.
-FREQUENT = 64
+#: A token counted in so many prefixes or more goes to the end of the order.
+FREQUENT = 8
+#: Rounds of counting; a prefix is about a quarter of a set.
+ROUNDS = 5
 #: Frequent tokens that travel to the tasks; with more, only the most frequent ones are moved to the end, which
 #: changes the order of tokens (the same for all sets) but no result.
 FREQUENT_TOKENS = 2_000_000
-#: Tokens counted at a time by a task; those seen once in such a run of documents are not passed on.
-COUNT_TOKENS = 4_000_000
 #: Rows of a list held at a time.
 LIST_ROWS = 1024
 
@@ -76,23 +78,9 @@ def prefix_size(n):
 
 
 def measure_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, f1, f2, heavy, is_doc``: size and two fingerprints of each set; ``heavy`` (on some rows, and on the rows
-    that are no document) has the tokens seen at least twice in the task's last run of documents, with their counts."""
+    """``doc_id, n, f1, f2``: size and two fingerprints of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[np.ndarray] = []
-        held = 0
-
-        def heavy() -> tuple[np.ndarray, np.ndarray]:
-            token, count = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return token[count > 1], count[count > 1]
-
-        def row(ids, n, f1, f2, token, count, is_doc=True) -> pa.RecordBatch:
-            at = np.append(np.zeros(len(n), np.int64), len(token))
-            struct = pa.StructArray.from_arrays([pa.array(signed(token)), pa.array(count)], names=["t", "n"])
-            return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(signed(f1)), pa.array(signed(f2)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), struct), pa.array([is_doc] * len(n))], names=["doc_id", "n", "f1", "f2", "heavy", "is_doc"])
-
-        nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
             for b in blocks(batch.column(1), NON_SPACE, True):
                 h, bounds = shingle_sets(b)
@@ -101,28 +89,58 @@ def measure_sets(docs: DataFrame) -> DataFrame:
                     s = np.zeros(len(h) + 1, np.uint64)
                     np.cumsum(mix(h ^ seed), out=s[1:])
                     sums.append(s[bounds[1:]] - s[bounds[:-1]])
-                seen.append(h)
-                held += len(h)
-                extra = nothing
-                if held >= COUNT_TOKENS:
-                    extra, held = heavy(), 0
-                    seen.clear()
-                yield row(batch.column(0).slice(b.first, b.n), np.diff(bounds), *sums, *extra)
-        if seen:
-            token, count = heavy()
-            if len(token):  # on a row of its own, without a document
-                yield row(pa.array([None], pa.int64()), np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.uint64), token, count, False)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, heavy array<struct<t:bigint,n:bigint>>, is_doc boolean")
-
-
-def frequent_tokens(table: DataFrame, least: int = FREQUENT, most: int = FREQUENT_TOKENS) -> np.ndarray:
-    """Sorted tokens counted ``least`` times or more; the bar is doubled until at most ``most`` are left."""
-    counts = cut(table.select(F.explode("heavy").alias("x")).groupBy("x.t").agg(F.sum("x.n").alias("n")).where(F.col("n") >= least))
-    while counts.where(F.col("n") >= least).count() > most:
-        least *= 2
-    got = counts.where(F.col("n") >= least).select("t").toPandas()["t"].to_numpy(np.int64)
-    return np.sort(got.view(np.uint64))
+                columns = [batch.column(0).slice(b.first, b.n), pa.array(np.diff(bounds)), *(pa.array(signed(x)) for x in sums)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+
+
+def token_places(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of each set's tokens, frequent ones last: indices into h, their sets, and their places there."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    late = np.zeros(len(h), bool)
+    if len(frequent) and len(h):
+        k = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        late = frequent[k] == h
+    order = np.lexsort([h, late, owner])
+    return order, owner[order], np.arange(len(h)) - bounds[:-1][owner[order]]
+
+
+def frequent_tokens(docs: DataFrame, least: int = FREQUENT, most: int = FREQUENT_TOKENS, rounds: int = ROUNDS) -> np.ndarray:
+    """Sorted tokens that are in ``least`` or more prefixes, at most ``most`` of them (then the most frequent ones).
+
+    The first round counts the prefixes by hash; each further one counts the tokens that moved into a prefix as others
+    went to the end.  Near copies in large groups share all their tokens, so a prefix's worth of them is found a round.
+    """
+    none = np.zeros(0, np.uint64)
+    before, now = None, none
+    spare = most
+    for _ in range(rounds):
+        old, new = before, now
+
+        def run(batches: Iterator[pa.RecordBatch], old=old, new=new) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in blocks(batch.column(0), NON_SPACE, True):
+                    h, bounds = shingle_sets(b)
+                    size = prefix_size(np.diff(bounds))
+                    order, owner, place = token_places(h, bounds, new)
+                    chosen = np.zeros(len(h), bool)
+                    chosen[order[place < size[owner]]] = True
+                    if old is not None:
+                        order, owner, place = token_places(h, bounds, old)
+                        chosen[order[place < size[owner]]] = False
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[chosen]))], names=["t"])
+
+        counts = cut(docs.select("text").mapInArrow(run, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+        bar = least
+        while counts.where(F.col("n") >= bar).count() > spare:
+            bar *= 2
+        found = counts.where(F.col("n") >= bar).select("t").toPandas()["t"].to_numpy(np.int64).view(np.uint64)
+        before, now = now, np.union1d(now, found)
+        spare = most - len(now)
+        if not len(found) or spare <= 0:
+            break
+    return now
 
 
 def parity_bitmap(h: np.ndarray) -> bytes:
@@ -150,15 +168,8 @@ def index_entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for batch in batches:
             for b in blocks(batch.column(1), NON_SPACE, True):
                 h, bounds = shingle_sets(b)
-                owner = np.repeat(np.arange(b.n), np.diff(bounds))
-                late = np.zeros(len(h), bool)
-                if len(frequent) and len(h):
-                    k = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                    late = frequent[k] == h
-                order = np.lexsort([h, late, owner])
-                h, owner = h[order], owner[order]
-                pos = np.arange(len(h)) - bounds[:-1][owner]
-                n = np.diff(bounds)[owner]
+                order, owner, pos = token_places(h, bounds, frequent)
+                h, n = h[order], np.diff(bounds)[owner]
                 keep = pos < prefix_size(n)
                 ids = batch.column(0).slice(b.first, b.n).take(pa.array(owner[keep]))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep])), ids, pa.array(n[keep], pa.int32()), pa.array(pos[keep], pa.int32())], names=["token", "doc_id", "n", "pos"])
@@ -188,66 +199,55 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def index_lists(entries: DataFrame) -> DataFrame:
-    """``list, doc_id, n, pos`` of the lists with two sets or more; lists with the same members and places come once.
+    """``list, doc_id, n, pos`` of the lists with two sets or more; a list is named by a hash of its members.
 
-    A list is named by a hash of its members, each with its place to the nearest block of places.
+    Of lists with equal members the least places hold, the first shared token's among them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "token"):
             t, d, n, p = (table.column(c).to_numpy() for c in ("token", "doc_id", "n", "pos"))
-            first = np.concatenate([[True], t[1:] != t[:-1]])
-            start = np.flatnonzero(first)
+            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             size = np.diff(np.append(start, len(t)))
             keep = np.repeat(size > 1, size)
             if not keep.any():
                 continue
-            t, d, n, p = t[keep], d[keep].astype(np.int64), n[keep].astype(np.int64), p[keep].astype(np.int64)
+            d, n, p = d[keep].astype(np.int64), n[keep], p[keep]
             size = size[size > 1]
-            # places in blocks of a sixteenth of the set: rounded, so that more lists have equal members
-            block = p * 16 // np.maximum(n, 1)
-            name = np.zeros(len(t) + 1, np.uint64)
-            np.cumsum(mix(d.view(np.uint64) ^ mix(block.astype(np.uint64) + np.uint64(1))), out=name[1:])
+            name = np.zeros(len(d) + 1, np.uint64)
+            np.cumsum(mix(d.view(np.uint64) + np.uint64(1)), out=name[1:])
             bounds = np.concatenate([[0], np.cumsum(size)])
             name = np.repeat(mix(name[bounds[1:]] - name[bounds[:-1]] + size.astype(np.uint64)), size)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(d), pa.array(n, pa.int32()), pa.array(block, pa.int32())], names=["list", "doc_id", "n", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(d), pa.array(n, pa.int32()), pa.array(p, pa.int32())], names=["list", "doc_id", "n", "pos"])
 
     parts = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = entries.repartition(parts, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(run, "list long, doc_id long, n int, block int")
-    return rows.distinct()
+    rows = entries.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "list long, doc_id long, n int, pos int")
+    return rows.groupBy("list", "doc_id", "n").agg(F.min("pos").alias("pos"))
 
 
-def _may_link(n1, b1, n2, b2):
-    """Whether sizes and places of a shared token allow a link.  A place lies in its block of sixteenths of the set."""
-    small_, large = np.minimum(n1, n2), np.maximum(n1, n2)
-    lo1, lo2 = -(-b1 * n1 // 16), -(-b2 * n2 // 16)  # least places in the blocks
-    hi1, hi2 = -(-(b1 + 1) * n1 // 16) - 1, -(-(b2 + 1) * n2 // 16) - 1
-    most = np.minimum(hi1, hi2) + 1 + np.minimum(n1 - lo1 - 1, n2 - lo2 - 1)
-    return (DEN * small_ >= NUM * large) & (most >= least_overlap(n1, n2))
+def _may_link(n1, pos1, n2, pos2):
+    """Whether sizes and places of two members of a list allow a link whose first shared token is the list's."""
+    return (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (np.minimum(n1 - pos1, n2 - pos2) >= least_overlap(n1, n2))
 
 
 def leader_pairs(lists: DataFrame) -> DataFrame:
-    """Round 1: ``(x, y)``, each list's sets with their leader.  Leaders are the list's least document and, along the sizes,
-    the first set that no earlier leader's size allows."""
+    """Round 1: ``(x, y)``, each list's sets with its leader, and with their neighbour along the sizes.
+
+    The leader is the set of least ``pos`` (then doc_id); neighbours serve where the leader's size is too far off.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "list"):
-            k, d, n, b = (table.column(c).to_numpy().astype(np.int64) for c in ("list", "doc_id", "n", "block"))
+            k, d, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("list", "doc_id", "n", "pos"))
             start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.append(start, len(k)))
-            which = np.repeat(np.arange(len(start)), size)
-            least = np.minimum.reduceat(d, start)
-            lead = np.flatnonzero(d == least[which])
-            lead = lead[np.concatenate([[True], which[lead][1:] != which[lead][:-1]])]
-            x = [lead[which]]
-            y = [np.arange(len(k))]
-            # sets whose size the least document's does not allow: their neighbour along the sizes leads
-            x.append(np.arange(len(k) - 1))
-            y.append(np.arange(1, len(k)))
-            x, y = np.concatenate(x), np.concatenate(y)
+            which = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
+            order = np.lexsort([d, pos, which])
+            lead = order[np.concatenate([[True], which[order][1:] != which[order][:-1]])]
+            x = np.concatenate([lead[which], np.arange(len(k) - 1)])
+            y = np.concatenate([np.arange(len(k)), np.arange(1, len(k))])
             ok = (which[x] == which[y]) & (d[x] != d[y])
             x, y = x[ok], y[ok]
-            ok = _may_link(n[x], b[x], n[y], b[y])
+            ok = _may_link(n[x], pos[x], n[y], pos[y])
             x, y = d[x[ok]], d[y[ok]]
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
@@ -256,28 +256,29 @@ def leader_pairs(lists: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(lists: DataFrame) -> DataFrame:
-    """Round 2: pairs of a list in different components that the known similarities do not rule out.
+    """Round 2: pairs of a list in different components that bounds and known similarities do not rule out.
 
-    ``lists`` has, besides, ``component`` and ``sim`` (the verified similarity to the list's least document, or null).
+    ``lists`` has, besides, ``component`` and ``sim`` (the verified similarity to the list's leader, or NaN).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "list"):
-            k, d, n, b, c = (table.column(x).to_numpy().astype(np.int64) for x in ("list", "doc_id", "n", "block", "component"))
+            k, d, n, pos, c = (table.column(x).to_numpy().astype(np.int64) for x in ("list", "doc_id", "n", "pos", "component"))
             far = 1 - table.column("sim").to_numpy().astype(float)  # distance to the leader; NaN if unknown
             start = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
             found = []
             for s, e in zip(start, start[1:]):
-                if (c[s:e] == c[s]).all():
+                live = np.arange(s, e)
+                if (c[live] == c[s]).all():
                     continue  # one component: every answer is known
-                for i0 in range(s, e, LIST_ROWS):
-                    i = np.arange(i0, min(e, i0 + LIST_ROWS))
-                    for j0 in range(i0, e, LIST_ROWS):
-                        if NUM * n[j0] > DEN * n[i[-1]]:
+                for i0 in range(0, len(live), LIST_ROWS):
+                    i = live[i0 : i0 + LIST_ROWS]
+                    for j0 in range(i0, len(live), LIST_ROWS):
+                        j = live[j0 : j0 + LIST_ROWS]
+                        if NUM * n[j[0]] > DEN * n[i[-1]]:
                             break  # sizes only grow from here
-                        j = np.arange(j0, min(e, j0 + LIST_ROWS))
                         ok = (j[None] > i[:, None]) & (c[j][None] != c[i][:, None])
-                        ok &= _may_link(n[i][:, None], b[i][:, None], n[j][None], b[j][None])
+                        ok &= _may_link(n[i][:, None], pos[i][:, None], n[j][None], pos[j][None])
                         with np.errstate(invalid="ignore"):
                             ok &= ~(np.abs(far[i][:, None] - far[j][None]) > 0.25 + 1e-9)
                         p, q = np.nonzero(ok)
@@ -353,14 +354,13 @@ def jaccard_components(docs: DataFrame, frequent: int = FREQUENT, frequent_token
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = cut(measure_sets(docs))
-    rows = table.where("is_doc")
+    rows = cut(measure_sets(docs))
     classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")))
     equal = rows.select("doc_id", "n", "f1", "f2").join(small(classes.where("most > rep")), ["n", "f1", "f2"]).where("doc_id > rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     equal = cut(equal)
     others = small(equal.select(F.col("x").alias("doc_id")).distinct())
     reps = docs.where("doc_id is not null").join(others, "doc_id", "left_anti")
-    token = frequent_tokens(table, frequent, frequent_tokens_most)
+    token = frequent_tokens(reps, frequent, frequent_tokens_most)
     lists = cut(index_lists(index_entries(reps, token)))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lists = cut(lists.repartition(parts, "list").sortWithinPartitions("list", "n", "doc_id"))
@@ -368,13 +368,14 @@ def jaccard_components(docs: DataFrame, frequent: int = FREQUENT, frequent_token
     first = verify_pairs(reps, cut(leader_pairs(lists)), bitmaps)
     links = equal.union(first.where("linked").select("x", "y"))
     known = connected_components(links, "x", "y")
-    # The similarities of each list's least document with the others.
-    lead = lists.groupBy("list").agg(F.min("doc_id").alias("lead"))
-    more = lists.join(lead, "list").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = more.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("list")
-    more = more.join(mixed, "list", "left_semi").join(first.select(F.col("x").alias("lead"), F.col("y").alias("doc_id"), "sim"), ["lead", "doc_id"], "left")
+    # Lists with several components are left, with their leader's similarities to the other members.
+    more = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = more.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(F.struct("pos", "doc_id"))["doc_id"].alias("lead"))
+    more = more.join(mixed.where("a < b").select("list", "lead"), "list")
+    sims = first.select(F.col("x").alias("lead"), F.col("y").alias("doc_id"), "sim").union(first.select(F.col("y"), F.col("x"), "sim"))
+    more = more.join(sims, ["lead", "doc_id"], "left")
     more = more.withColumn("sim", F.when(F.col("doc_id") == F.col("lead"), F.lit(1.0)).otherwise(F.coalesce("sim", F.lit(float("nan")))))
-    more = more.select("list", "doc_id", "n", "block", "component", "sim").repartition(parts, "list").sortWithinPartitions("list", "n", "doc_id")
+    more = more.select("list", "doc_id", "n", "pos", "component", "sim").repartition(parts, "list").sortWithinPartitions("list", "n", "doc_id")
     rest = cut(remaining_pairs(more))
     second = verify_pairs(reps, cut(rest.join(first.select("x", "y"), ["x", "y"], "left_anti")), bitmaps)
     found = second.where("linked").select("x", "y")
