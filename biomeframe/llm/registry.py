@@ -12,6 +12,7 @@ from .html_text import op10_html_extraction
 from .jaccard import op9_jaccard_join
 from .langid import op2_language_id
 from .lines import OP7_SQL, op7_line_dedup
+from .oracles import OP3_SQL, OP8_SQL, OP9_SQL
 from .packing import op4_best_fit_packing
 from .quality import op6_quality_rules
 from .suffix import op8_substring_dedup
@@ -32,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
+    "op3_benchmark_decontamination": OP3_SQL,
     "op5_url_filters": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op8_substring_dedup": OP8_SQL,
+    "op9_jaccard_join": OP9_SQL,
 }
