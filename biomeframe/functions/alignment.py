@@ -33,3 +33,12 @@ def identity_threshold(database_type: str, threshold: float | None = None) -> fl
 
 def nm_tag(tags: Column) -> Column:
     return F.regexp_extract(tags, r"NM:i:(\d+)", 1).try_cast("int")
+
+
+def mapping_totals(log: Column) -> Column:
+    """The four read counts with percentages in an aligner's summary; the first is the total.
+
+    Null for any other number of them, as the log is then not that of a finished run.
+    """
+    numbers = F.transform(F.regexp_extract_all(log, F.lit(r"(\d+)\s+\("), 1), lambda x: x.cast("long"))
+    return F.when(F.size(numbers) == 4, numbers)

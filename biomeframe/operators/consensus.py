@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from biomeframe.functions.alignment import SKIPPED_IN_DEPTH
 from biomeframe.functions.sequence import all_gap, allele_codes
 
 GENE = ["sample", "gene_id"]
@@ -86,3 +90,28 @@ def pileup_variants(bases: DataFrame, reference: DataFrame, min_depth: int = 3,
     ro = F.aggregate(F.filter("b", lambda x: x["base"] == F.col("ref")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     out = at.withColumn("a", alt).where(F.size("a") > 0)
     return out.select(*GENE, F.col("pos").alias("start"), "ref", F.transform("a", lambda x: x["base"]).alias("alts"), ro.alias("ro"), F.transform("a", lambda x: x["n"]).alias("ao"))
+
+
+def aligned_bases(aln: DataFrame) -> DataFrame:
+    """``sample, gene_id, pos, base`` of alignments (pos 0-based, cigar, seq), for :func:`pileup_variants`.
+
+    Insertions, clips and deletions give no base; reads that depth ignores are left out.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for sample, gene, pos, cigar, seq in pdf.itertuples(index=False):
+                at, read = pos, 0
+                for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar or ""):
+                    n = int(n)
+                    if op in "M=X":
+                        rows += [(sample, gene, at + i, seq[read + i].upper()) for i in range(n)]
+                    at += n if op in "M=XDN" else 0
+                    read += n if op in "M=XIS" else 0
+            yield pd.DataFrame(rows, columns=["sample", "gene_id", "pos", "base"])
+
+    kept = aln.where(F.col("flag").bitwiseAND(SKIPPED_IN_DEPTH) == 0).where("seq is not null and seq != '*'")
+    return kept.select(*GENE, "pos", "cigar", "seq").mapInPandas(run, "sample string, gene_id long, pos int, base string")

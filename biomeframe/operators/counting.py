@@ -91,3 +91,9 @@ def mapping_rate(aln: DataFrame, hits: DataFrame, mode: str = "smart_shared") ->
 def core_alignments(aln: DataFrame, core: DataFrame) -> DataFrame:
     """Alignments on core genes, for strain analysis."""
     return aln.join(core.select("gene_id").distinct(), "gene_id", "left_semi")
+
+
+def cap_alignments(aln: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` alignments of each read: those of highest identity, then least gene_id."""
+    order = Window.partitionBy(*READ).orderBy(identity(F.col("ali"), F.col("nm")).desc_nulls_last(), "gene_id")
+    return aln.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")

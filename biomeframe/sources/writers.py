@@ -68,3 +68,11 @@ def tree_text(merges: DataFrame) -> DataFrame:
     top = Window.partitionBy("msp_name")
     rows = merges.withColumn("_top", F.max("step").over(top)).select("msp_name", F.struct((-F.col("step")).alias("o"), line.alias("l")).alias("x"))
     return rows.groupBy("msp_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]), "\n").alias("tree"))
+
+
+def updated_census(census: dict, section: str, fields: dict) -> dict:
+    """The census with more fields in a section; a field that is there already is an error."""
+    have = census.get(section, {})
+    if again := sorted(set(have) & set(fields)):
+        raise ValueError(f"fields are already in section {section!r}: {', '.join(again)}")
+    return census | {section: have | fields}
