@@ -1,16 +1,43 @@
-"""Distributed connected components by alternating large-star and small-star steps.
+"""Connected components.
 
-Each step is a partial aggregation (least neighbour per node) and a join on the node;
-links and components never leave the executors, and no group is gathered in one task.
+Up to ``LOCAL_EDGES`` edges (counted first) are joined by union-find in one executor task, whose memory that bound limits.
+Beyond it large-star and small-star steps alternate: each is a partial aggregation (least neighbour per node) and a
+join on the node.  Links and components never reach the driver, and no group is gathered in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut
 
+#: Edges that one task joins: some 30 bytes each, and twice that for its table of nodes.
+LOCAL_EDGES = 500_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict = {}
+
+    def root(x):
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = parent[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for k in range(0, len(nodes), 50_000):
+        part = nodes[k : k + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([root(x) for x in part])], names=["node", "component"])
+
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +56,7 @@ def _sum(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", local: int = LOCAL_EDGES) -> DataFrame:
     """``(node, component)`` for each node of an edge; component is the least node reachable.
 
     Null ends and loops are ignored; an empty edge table gives an empty result.
@@ -40,6 +67,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
     e = cut(e.distinct())
     before = _sum(e)
+    if before[0] <= local:
+        kind = e.schema["u"].dataType.simpleString()
+        return e.coalesce(1).mapInArrow(_union_find, f"node {kind}, component {kind}")
     while before[0]:
         e = cut(_small(_large(e)))
         now = _sum(e)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut, prepare, small
-from ._text import NON_SPACE, Block, blocks, mix, signed
+from ._text import NON_SPACE, Block, blocks, mix, signed, span_of, window_sums
 from .components import connected_components
 
 SHINGLE = 5
@@ -50,22 +50,24 @@ def shingle_sets(b: Block, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     A document with fewer words, but not none, has one shingle of all its words.
     """
     at, h = b.windows(shingle)
-    doc = b.doc_of_word()
-    owner = doc[at] if len(at) else at
     counts = b.counts
-    short = np.flatnonzero((counts > 0) & (counts < shingle))
-    if len(short):
-        from ._text import span_of, window_sums
-
-        sums = window_sums(b.words)
-        h = np.concatenate([h, span_of(sums, b.wfirst[short], b.wfirst[short + 1])])
-        owner = np.concatenate([owner, short])
-    order = np.lexsort([h, owner])
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    return h, np.searchsorted(owner, np.arange(b.n + 1))
+    short = (counts > 0) & (counts < shingle)
+    sizes = np.where(short, 1, np.maximum(counts - shingle + 1, 0))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(bounds[-1], np.uint64)
+    alone = np.zeros(len(out), bool)
+    alone[bounds[:-1][short]] = True
+    out[~alone] = h
+    if short.any():
+        out[alone] = span_of(window_sums(b.words), b.wfirst[:-1][short], b.wfirst[1:][short])
+    for x, y in zip(bounds.tolist(), bounds[1:].tolist()):
+        if y - x > 1:
+            out[x:y].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[bounds[:-1][sizes > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return out[new], kept[bounds]
 
 
 def least_overlap(n, m):
@@ -95,15 +97,19 @@ def measure_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
 
 
-def token_places(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of each set's tokens, frequent ones last: indices into h, their sets, and their places there."""
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    late = np.zeros(len(h), bool)
-    if len(frequent) and len(h):
-        k = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-        late = frequent[k] == h
-    order = np.lexsort([h, late, owner])
-    return order, owner[order], np.arange(len(h)) - bounds[:-1][owner[order]]
+def token_places(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Place of each token in its set's order: by hash (as the sets are sorted), frequent ones last."""
+    sizes = np.diff(bounds)
+    first = np.repeat(bounds[:-1], sizes)
+    place = np.arange(len(h)) - first
+    if not len(frequent) or not len(h):
+        return place
+    k = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+    late = frequent[k] == h
+    before = np.concatenate([[0], np.cumsum(late)])  # late tokens before each place of the block
+    lates = before[:-1] - before[first]
+    early = np.repeat(sizes - (before[bounds[1:]] - before[bounds[:-1]]), sizes)
+    return np.where(late, early + lates, place - lates)
 
 
 def frequent_tokens(docs: DataFrame, least: int = FREQUENT, most: int = FREQUENT_TOKENS, rounds: int = ROUNDS) -> np.ndarray:
@@ -122,13 +128,10 @@ def frequent_tokens(docs: DataFrame, least: int = FREQUENT, most: int = FREQUENT
             for batch in batches:
                 for b in blocks(batch.column(0), NON_SPACE, True):
                     h, bounds = shingle_sets(b)
-                    size = prefix_size(np.diff(bounds))
-                    order, owner, place = token_places(h, bounds, new)
-                    chosen = np.zeros(len(h), bool)
-                    chosen[order[place < size[owner]]] = True
+                    size = np.repeat(prefix_size(np.diff(bounds)), np.diff(bounds))
+                    chosen = token_places(h, bounds, new) < size
                     if old is not None:
-                        order, owner, place = token_places(h, bounds, old)
-                        chosen[order[place < size[owner]]] = False
+                        chosen &= token_places(h, bounds, old) >= size
                     yield pa.RecordBatch.from_arrays([pa.array(signed(h[chosen]))], names=["t"])
 
         counts = cut(docs.select("text").mapInArrow(run, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
@@ -168,8 +171,9 @@ def index_entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for batch in batches:
             for b in blocks(batch.column(1), NON_SPACE, True):
                 h, bounds = shingle_sets(b)
-                order, owner, pos = token_places(h, bounds, frequent)
-                h, n = h[order], np.diff(bounds)[owner]
+                n = np.repeat(np.diff(bounds), np.diff(bounds))
+                owner = np.repeat(np.arange(b.n), np.diff(bounds))
+                pos = token_places(h, bounds, frequent)
                 keep = pos < prefix_size(n)
                 ids = batch.column(0).slice(b.first, b.n).take(pa.array(owner[keep]))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep])), ids, pa.array(n[keep], pa.int32()), pa.array(pos[keep], pa.int32())], names=["token", "doc_id", "n", "pos"])

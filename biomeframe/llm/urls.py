@@ -75,7 +75,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame) -> DataFra
     prepare(pages.sparkSession)
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
     edges = cut(edges)
-    classes = cut(connected_components(edges))
+    classes = cut(connected_components(edges, local=0))  # DataFrame functions only
     every = pages.select("url").union(classes.select(F.col("node").alias("url")))
     judged = cut(rule_verdicts(every, rules))
     ruled = judged.where("action is not null").select(node_of(F.col("url")).alias("node"), "action")

@@ -110,7 +110,8 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     want = {x: root(x) for a, b in edges if a != b for x in (a, b)}
     df = spark.createDataFrame([*edges, (5, None), (None, None)], "src long, dst long")
-    assert {r["node"]: r["component"] for r in connected_components(df).collect()} == want
+    for local in (0, 10**6):
+        assert {r["node"]: r["component"] for r in connected_components(df, local=local).collect()} == want
     assert connected_components(df.limit(0)).collect() == []
 
 
