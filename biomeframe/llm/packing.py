@@ -30,9 +30,12 @@ from ._spark import cut, prepare
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces per bucket of the ranking step.
+#: Pieces per bucket of the ranking step, where that makes more buckets than there are shuffle partitions.
 BUCKET_PIECES = 50_000
 
+#: Patterns that leave more than one id in so many free are left to best fit.
+WASTE = 512
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -88,7 +91,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END
 
 
 def enumerate_patterns(hist: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Patterns of one to four present lengths, as full as the present lengths allow."""
+    """Patterns of one to four present lengths that leave at most one id in ``1 / WASTE`` free."""
     present = np.flatnonzero(hist[: capacity + 1]).tolist()
 
     def at_most(x: int) -> int | None:
@@ -110,7 +113,7 @@ def enumerate_patterns(hist: np.ndarray, capacity: int) -> list[tuple[int, ...]]
                 found.add(tuple(sorted((a, b, c), reverse=True)))
         if (b := at_most(rest // 3)) is not None and (c := at_most((rest - b) // 2)) is not None and (d := at_most(rest - b - c)) is not None:
             found.add(tuple(sorted((a, b, c, d), reverse=True)))
-    return sorted(found, key=lambda p: (capacity - sum(p), len(p), p))
+    return sorted((p for p in found if (capacity - sum(p)) * WASTE <= capacity), key=lambda p: (capacity - sum(p), len(p), p))
 
 
 def fit_nnls(patterns: list[tuple[int, ...]], hist: np.ndarray, sweeps: int = 60) -> np.ndarray:
@@ -208,7 +211,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for length, n in counts.items():
         hist[length] = n
     runs = sorted(plan_sequences(hist, capacity))
-    buckets = max(1, int(hist.sum()) // BUCKET_PIECES)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(hist.sum()) // BUCKET_PIECES)
     marked = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = marked.groupBy("_bucket", "length").agg(F.count(F.lit(1)).alias("_n"))
