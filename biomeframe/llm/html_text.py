@@ -2,9 +2,10 @@
 
 Element subtrees of every page are hashed; Spark counts, per host, the pages in which each subtree
 occurs, and subtrees that recur across many pages of their host are deleted before the text is taken.
+Pages with one and the same article count once, so that a copied article's own parts are no template.
 Elements that are furniture by their tag, class, id or role go as well, so that hosts with few pages
-are cleaned too.  Inside an article only container elements count as template, since
-paragraphs of an article may be quoted or copied on many pages of a host.
+are cleaned too.  Inside an article only boxes (not paragraphs, lists and tables) count as template, since
+an article's text may be quoted on many pages of a host.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ BLOCK = set(
 )
 CLOSES_P = BLOCK - {"br", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 SAME_CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-CONTAINERS = set("nav header footer aside form div section ul ol dl table menu figure dialog fieldset details".split())
+CONTAINERS = set("nav header footer aside form div section menu dialog".split())
 FURNITURE = set(
     "script style noscript template head title nav footer aside form button select textarea iframe svg canvas object embed audio video dialog menu "
     "fieldset datalist".split()
@@ -173,11 +174,14 @@ def subtree_hashes(source: str, elements: list[Element], has_article: bool) -> l
     return out
 
 
-def page_hashes(source: str | None) -> list[int]:
+def page_hashes(source: str | None) -> tuple[str, list[int]]:
+    """Digest of the article (else of the whole page), and the hashes of the subtrees that may be template."""
     if not source:
-        return []
+        return "", []
     elements, _ = parse(source)
-    return sorted({h for _, h in subtree_hashes(source, elements, any(e.tag == "article" for e in elements))})
+    articles = [e for e in elements if e.tag == "article" and not e.inside]
+    main = "".join(source[e.start : e.end] for e in articles) or source
+    return xxhash.xxh128_hexdigest(main.encode("utf-8", "surrogatepass")), sorted({h for _, h in subtree_hashes(source, elements, bool(articles))})
 
 
 def main_text(source: str | None, templates: set[int]) -> str:
@@ -209,20 +213,21 @@ def main_text(source: str | None, templates: set[int]) -> str:
 
 
 def count_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
-    """``(host, hash)`` of template subtrees, and the table ``key, host, hashes`` of distinct pages.
+    """``(host, hash)`` of template subtrees, and the table ``key, host, main, hashes`` of distinct pages.
 
-    Rows with one URL and one source count once; null html has no subtrees.
+    A subtree's pages and a host's pages are counted by distinct articles; null html has no subtrees.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [page_hashes(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], names=["key", "host", "hashes"])
+            mains, hashes = pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), mains, hashes], names=["key", "host", "main", "hashes"])
 
     keyed = pages.select(F.xxhash64("url", "html").alias("key"), host_of(F.col("url")).alias("host"), "html")
-    table = cut(keyed.mapInArrow(run, "key long, host string, hashes array<long>").dropDuplicates(["key"]))
-    hosts = table.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = table.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    table = cut(keyed.mapInArrow(run, "key long, host string, main string, hashes array<long>").dropDuplicates(["key"]))
+    hosts = table.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    seen = table.select("host", "main", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     seen = seen.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share)
     return seen.select("host", "hash"), table
 
