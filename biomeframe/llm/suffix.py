@@ -209,8 +209,9 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group:
     shared = by_class.groupBy("a").agg(F.count(F.lit(1)).alias("classes"), F.min("least").alias("least"), F.max("most").alias("most"))
     shared = cut(shared.where("most > least").select("a", "classes"))
     rows = cut(rows.join(small(shared), "a"))
-    least = rows.groupBy("a", "c").agg(F.min("doc_id").alias("least"))
-    rows = cut(rows.join(least, ["a", "c"]))
+    # Cut before the join: both its sides are then plain exchanges, and a passage's large class can be split.
+    least = cut(rows.groupBy("a", "c").agg(F.min("doc_id").alias("least")))
+    rows = cut(rows.join(small(least), ["a", "c"]))
     same = rows.where("doc_id > least").select("doc_id", "h", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("right")).alias("e"))
     ranges.append(same.where(F.col("e") - F.col("s") >= window))
     apart = rows.where("doc_id = least and classes > 1").select("doc_id", "h", "a", "pos", "left", "right", "classes")
