@@ -4,7 +4,7 @@ Element subtrees of every page are hashed; Spark counts, per host, the pages in
 occurs, and subtrees that recur across many pages of their host are deleted before the text is taken.
 Pages with one and the same article count once, so that a copied article's own parts are no template.
 Elements that are furniture by their tag, class, id or role go as well, so that hosts with few pages
-are cleaned too.  Inside an article only boxes (not paragraphs, lists and tables) count as template, since
+are cleaned too, but not around the only articles.  Inside an article only boxes (not paragraphs, lists and tables) count as template, since
 an article's text may be quoted on many pages of a host.
 """
 
@@ -42,6 +42,8 @@ FURNITURE = set(
     "script style noscript template head title nav footer aside form button select textarea iframe svg canvas object embed audio video dialog menu "
     "fieldset datalist".split()
 )
+#: Furniture that is dropped even around an article.
+NEVER_MAIN = FURNITURE - set("nav header footer aside form dialog menu fieldset".split())
 #: Words of class, id and role attributes that name page furniture.
 WORDS = set(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices newsletter "
@@ -55,6 +57,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S
 )
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -190,26 +193,46 @@ def main_text(source: str | None, templates: set[int]) -> str:
         return ""
     elements, pieces = parse(source)
     has_article = any(e.tag == "article" for e in elements)
-    gone = bytearray(len(pieces) + 1)
-
-    def drop(e: Element) -> None:
-        if e.last > e.first:
-            gone[e.first : e.last] = b"\1" * (e.last - e.first)
-
-    dropped: set[int] = set()
     template = {k for k, h in subtree_hashes(source, elements, has_article) if h in templates} if templates else set()
-    for k, e in enumerate(elements):
-        if e.parent in dropped:
-            dropped.add(k)
-        elif k in template or is_furniture(e):
-            dropped.add(k)
-            drop(e)
-    roots = [e for k, e in enumerate(elements) if e.tag == "article" and not e.inside and k not in dropped]
-    if not roots:
-        roots = [e for k, e in enumerate(elements) if k not in dropped and (e.tag == "main" or re.search(r"""\brole\s*=\s*["']?main\b""", e.attrs, re.I))][:1]
-    ranges = [(e.first, e.last) for e in roots] or [(0, len(pieces))]
-    text = "".join((html.unescape(p) if "&" in p else p) for a, b in ranges for p in [*(pieces[i] for i in range(a, b) if not gone[i]), " "])
-    return " ".join(text.split())
+    furniture = {k for k, e in enumerate(elements) if is_furniture(e)}
+    articles = [k for k, e in enumerate(elements) if e.tag == "article" and not e.inside]
+    mains = [k for k, e in enumerate(elements) if e.tag == "main" or MAIN_ROLE.search(e.attrs)]
+
+    def without(opened: set[int]) -> set[int]:
+        """What goes, with all it holds; elements in ``opened`` are no furniture."""
+        out: set[int] = set()
+        for k, e in enumerate(elements):
+            if e.parent in out or k in template or (k in furniture and k not in opened):
+                out.add(k)
+        return out
+
+    def text_without(dropped: set[int]) -> str:
+        gone = bytearray(len(pieces) + 1)
+        for k in dropped:
+            e = elements[k]
+            if e.last > e.first and e.parent not in dropped:
+                gone[e.first : e.last] = b"\1" * (e.last - e.first)
+        roots = [k for k in articles if k not in dropped] or [k for k in mains if k not in dropped][:1]
+        ranges = [(elements[k].first, elements[k].last) for k in roots] or [(0, len(pieces))]
+        text = "".join((html.unescape(p) if "&" in p else p) for a, b in ranges for p in [*(pieces[i] for i in range(a, b) if not gone[i]), " "])
+        return " ".join(text.split())
+
+    dropped = without(set())
+    text = text_without(dropped)
+    # Furniture around every article (else main) is opened from outside in, the fullest first, until one is left.
+    opened: set[int] = set()
+    while (wanted := articles or mains) and all(k in dropped for k in wanted):
+        around = set()
+        for k in wanted:
+            while elements[k].parent in dropped:
+                k = elements[k].parent
+            if k in furniture and k not in template and elements[k].tag not in NEVER_MAIN and not HIDDEN.search(elements[k].attrs):
+                around.add(k)
+        if not around:
+            return text
+        opened.add(max(around, key=lambda k: sum(len(pieces[i].strip()) for i in range(elements[k].first, elements[k].last))))
+        dropped = without(opened)
+    return max(text, text_without(dropped), key=len) if opened else text
 
 
 def count_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:

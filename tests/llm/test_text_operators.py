@@ -260,6 +260,16 @@ def test_main_text():
     assert html_text.main_text("<p>" * 3000 + "deep" + "<div>" * 3000, set()) == "deep"
 
 
+def test_furniture_around_the_article():
+    side = '<nav>n</nav><div class="sidebar"><article>teaser</article></div><section id="comments"><article>Nice post, I liked it a lot</article></section>'
+    for wrap in ("<form id=f>%s</form>", '<div class="page has-sidebar">%s</div>', '<div class="layout-top"><form>%s</form></div>', '<main><div class="content with-comments">%s</div></main>'):
+        assert html_text.main_text(f"<body><header>Site</header>{wrap % ('<article><p>The long main text of this page</p></article>' + side)}<footer>f</footer></body>", set()) == "The long main text of this page"
+    assert html_text.main_text('<div class="page has-sidebar"><nav>n</nav><div role=main>own text</div></div>', set()) == "own text"
+    assert html_text.main_text(f"<body><article>short</article>{side}</body>", set()) == "short"
+    assert html_text.main_text(f"<body><div>a page without an article, but with long text of its own and more of it</div>{side}</body>", set()).startswith("a page without")
+    assert html_text.main_text("<body><p>p</p><template><article>not shown</article></template><div hidden><article>nor this</article></div></body>", set()) == "p"
+
+
 def test_templates(spark):
     body = lambda i: f"<body><div><p>Welcome to our wonderful site</p></div><div><p>Story {i} is told here</p><p>Quoted by all</p></div></body>"
     rows = [(i, f"http://one.org/{i}", body(i)) for i in range(12)] + [(100 + i, f"http://two.org/{i}", PAGE.replace("{own}", f"t{i}")) for i in range(5)]
