@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from ._spark import cut, prepare
 from .urls import host_of
 
-#: A subtree is template if it occurs on so many pages of its host, and on that share of them.
+#: A subtree is template if it occurs on so many pages of its host, however many pages the host has.
 MIN_PAGES = 3
-MIN_SHARE = 0.1
 #: Template marks of so many distinct pages may be broadcast; beyond it pages and marks are shuffled.
 BROADCAST_PAGES = 200_000
 
@@ -235,10 +234,10 @@ def main_text(source: str | None, templates: set[int]) -> str:
     return max(text, text_without(dropped), key=len) if opened else text
 
 
-def count_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
+def count_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
     """``(host, hash)`` of template subtrees, and the table ``key, host, main, hashes`` of distinct pages.
 
-    A subtree's pages and a host's pages are counted by distinct articles; null html has no subtrees.
+    A subtree's pages are counted by distinct articles; null html has no subtrees.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,20 +248,18 @@ def count_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: flo
 
     keyed = pages.select(F.xxhash64("url", "html").alias("key"), host_of(F.col("url")).alias("host"), "html")
     table = cut(keyed.mapInArrow(run, "key long, host string, main string, hashes array<long>").dropDuplicates(["key"]))
-    hosts = table.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     seen = table.select("host", "main", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    seen = seen.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share)
-    return seen.select("host", "hash"), table
+    return seen.where(F.col("n") >= min_pages).select("host", "hash"), table
 
 
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """``page_id, url, text`` per row of pages (columns page_id, url, html).
 
     Null or empty html gives an empty text; repeated rows give repeated results; an empty
     table gives an empty result; other columns are ignored.
     """
     prepare(pages.sparkSession)
-    templates, table = count_templates(pages, min_pages, min_share)
+    templates, table = count_templates(pages, min_pages)
     marks = table.select("key", "host", F.explode("hashes").alias("hash")).join(templates, ["host", "hash"]).groupBy("key").agg(F.collect_list("hash").alias("templates"))
     marks = cut(marks)
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_PAGES else marks

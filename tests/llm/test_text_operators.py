@@ -281,5 +281,12 @@ def test_templates(spark):
     assert html_text.extract_text(df.limit(0)).collect() == []
 
 
+def test_templates_of_a_large_host(spark):
+    notice = "<div><p>This section moves next week</p></div>"
+    rows = [(i, f"http://big.org/{i}", f"<body>{notice if i < 4 else ''}<div><p>Story {i} of a large host</p></div></body>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()} == {i: f"Story {i} of a large host" for i in range(60)}
+
+
 def test_sha_helper():
     assert sha("") == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
