@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +41,34 @@ WASTE = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def load_encoder(path: str | None = None):
+def load_encoder(path: str | None = None, added: dict[str, int] | None = None):
     """The byte-level BPE of the public vocabulary file; ``path`` overrides the installed one.
 
     The ranks file holds the same vocabulary as the JSON tokenizer and gives the same ids about
-    four times as fast; special-token strings in a text are ordinary text.
+    four times as fast.  ``added`` are the special tokens; without them their strings are ordinary text.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
+
+
+def load_tokenizer(path: str | None = None) -> Callable[[str], np.ndarray]:
+    """Ids of a text as the JSON tokenizer gives them, with its added tokens matched in the text.
+
+    The JSON file lies beside the ranks file, under the same name; where there is none, no tokens are added.
+    """
+    import public_tokenizers
+
+    beside = os.path.splitext(path or public_tokenizers.path(VOCABULARY))[0] + ".json"
+    added = {}
+    if os.path.exists(beside):
+        with open(beside, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+    encoder = load_encoder(path, added)
+    return lambda text: encoder.encode_to_numpy(text, allowed_special="all")
 
 
 def _pieces(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -68,7 +86,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END
     schema = PIECES + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(path).encode_to_numpy
+        encode = load_tokenizer(path)
         for batch in batches:
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -109,6 +109,19 @@ def test_tokens_equal_the_tokenizer_file():
         assert encoder.encode_to_numpy(x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_special_tokens_equal_the_tokenizer_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [x for _, x in corpus() if x] + ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> x\n<|endoftext|><|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|>"]
+    encode = packing.load_tokenizer()
+    for x in texts:
+        assert encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    row = packing.pack_documents(spark.createDataFrame([(1, texts[-5])], DOCS), keep_ids=True).collect()[0]
+    assert row["ids"] == [64, 50256, 65, 2]
+
+
 def check_packing(pieces, capacity):
     by = {}
     for p in pieces:
