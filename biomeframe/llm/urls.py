@@ -7,6 +7,9 @@ member and no explicitly allowed one blocks its members that no rule names.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,9 @@ REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
+#: Numeric references to C1 controls, which mean Windows-1252 characters.
+WINDOWS = {str(n): bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
 
 def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1), UPPER, LOWER)
@@ -36,18 +42,60 @@ def node_of(url: Column) -> Column:
     return F.regexp_extract(url, r"(?s)^([^#]*)", 1)
 
 
+def unescape(text: Column) -> Column:
+    """An attribute's text with its character references decoded as HTML does."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    windows = F.from_json(F.lit(json.dumps(WINDOWS)), "map<string,string>")
+
+    def number(digits: Column, base: int) -> Column:
+        digits = F.regexp_replace(digits, "^0+(?=.)", "")
+        n = F.when(F.length(digits) <= 7, F.conv(digits, base, 10).cast("long"))
+        known = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(windows, n.cast("string")), F.when(known, char), F.lit("\ufffd"))
+
+    def piece(x: Column) -> Column:
+        whole = F.regexp_extract(x, r"^&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)", 0)
+        rest = F.substr(x, F.length(whole) + 1)
+        tens, hexes = F.regexp_extract(whole, "^&#([0-9]+)", 1), F.regexp_extract(whole, "^&#[xX]([0-9a-fA-F]+)", 1)
+        named = F.when(whole.endswith(";") | ~rest.startswith("="), F.try_element_at(names, F.substr(whole, F.lit(2))))
+        return F.concat(F.coalesce(F.when(tens != "", number(tens, 10)), F.when(hexes != "", number(hexes, 16)), named, whole), rest)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")).otherwise(text)
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with ``/``, without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/", -1)
+    dots = F.array(F.lit("."), F.lit(".."))
+    up = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), up)
+    end = F.when(F.array_contains(dots, F.element_at(parts, -1)), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+
+def resolve(target: Column, url: Column) -> Column:
+    """The target as an absolute URL without fragment, seen from a page's URL; null if it names no other page."""
+    to = node_of(target)
+    scheme, site = F.regexp_extract(url, r"^([^/?#:]*:)//", 1), F.regexp_extract(url, r"^([^/?#]*://[^/?#]*)", 1)
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    own, query = F.regexp_extract(to, r"(?s)^([^?]*)", 1), F.regexp_extract(to, r"(?s)(\?.*)$", 1)
+    under = F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1), own)
+    absolute = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(to.contains("://"), to)).when((to == "") | (site == ""), F.lit(None))
+    absolute = absolute.when(to.startswith("//"), F.concat(scheme, to)).when(to.startswith("?"), F.concat(site, path, to))
+    return absolute.otherwise(F.concat(site, without_dots(F.when(to.startswith("/"), own).otherwise(under)), query))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """``(src, dst)`` between a page's URL and its canonical link or refresh target, where there is one.
 
-    Targets are absolute, or start with ``/`` and take the page's scheme and host; others are ignored.
+    Character references in targets are decoded, and relative targets are resolved against the page's URL.
     """
     link = F.regexp_extract(F.regexp_extract("html", LINK, 0), HREF, 1)
     refresh = F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1)
     found = pages.where("url is not null and html is not null").where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
     found = found.select("url", F.explode(F.array(link, refresh)).alias("to")).where("to != ''")
-    site = F.regexp_extract("url", r"^([^/?#]*://[^/?#]*)", 1)
-    to = F.when(F.col("to").startswith("/") & ~F.col("to").startswith("//") & (site != ""), F.concat(site, "to")).otherwise(F.col("to"))
-    return found.select(node_of(F.col("url")).alias("src"), node_of(to).alias("dst")).where("dst like '%://%' and src != dst").distinct()
+    return found.select(node_of(F.col("url")).alias("src"), resolve(unescape(F.col("to")), F.col("url")).alias("dst")).where("src != dst").distinct()
 
 
 def rule_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:

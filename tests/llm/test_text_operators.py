@@ -206,6 +206,24 @@ def test_page_edges(spark):
     assert sorted(map(tuple, got)) == [("http://a/x", "http://b/y"), ("http://a/z", "http://a/new")]
 
 
+def test_relative_page_edges(spark):
+    base = "http://h.org/d/e/page.html?q=1#f"
+    cases = {
+        "page2.html": "http://h.org/d/e/page2.html", "../x": "http://h.org/d/x", "../../../up/./y/": "http://h.org/up/y/", "..": "http://h.org/d/", "?id=2": "http://h.org/d/e/page.html?id=2",
+        "?a=1&amp;b=2": "http://h.org/d/e/page.html?a=1&b=2", "//other.net/p": "http://other.net/p", "https://s.org/p?a=1&amp;b=2": "https://s.org/p?a=1&b=2", "/r/../t?u=/../v": "http://h.org/t?u=/../v",
+        "./z?w=http://a/": "http://h.org/d/e/z?w=http://a/", "/&#233;&#x4e2d;&eacute;&#1114112;": "http://h.org/\u00e9\u4e2d\u00e9\ufffd", "/a?x=1&copy=2&notit;&lt": "http://h.org/a?x=1&copy=2&notit;<",
+        "#top": None, "mailto:a@b": None, "page.html?q=1": "http://h.org/d/e/page.html?q=1", "/&#128;&#0;": "http://h.org/\u20ac\ufffd",
+    }
+    rows = spark.createDataFrame([(to,) for to in cases], "to string").select("to", urls.resolve(urls.unescape(F.col("to")), F.lit(base)).alias("dst")).collect()
+    assert {r["to"]: r["dst"] for r in rows} == cases
+    pages = [
+        ("http://h.org", '<link rel="canonical" href="x">'), ("no site", '<link rel="canonical" href="x">'), ("http://s.org/a?b", '<link rel=canonical href="a?b">'),
+        ("http://r.org/d/p", '<meta http-equiv="refresh" content="0; url=q?a=1&amp;b=2">'),
+    ]
+    got = urls.page_edges(spark.createDataFrame(pages, "url string, html string")).collect()
+    assert sorted(map(tuple, got)) == [("http://h.org", "http://h.org/x"), ("http://r.org/d/p", "http://r.org/d/q?a=1&b=2")]
+
+
 GOOD = "The river ran slowly past the old mill, and nobody spoke.\nLater the sun came out over the wide quiet fields again."
 BAD = "WORD!! THING!! OTHER!! STUFF!! MORE!! AGAIN!! HERE!! THERE!! WHERE!! WHEN!! HOW!!\nred | green | blue | white | black | brown | grey | pink | teal | gold"
 
