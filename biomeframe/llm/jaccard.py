@@ -390,14 +390,30 @@ def jaccard_components(docs: DataFrame, frequent: int = FREQUENT, frequent_token
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _keep_by_rows(docs: DataFrame) -> DataFrame:
+    """The row with the least doc_id of each component, where texts that share a doc_id, or have none, are rows of their own."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, "doc_id", "text", F.xxhash64("text").alias("h"), F.length("text").alias("n")).dropDuplicates(["doc_id", "h", "n"])
+    rows = cut(rows.withColumn("key", F.monotonically_increasing_id()))
+    found = jaccard_components(rows.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
+    least = rows.select("key", "doc_id").join(found, "key").groupBy("component_id").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key"))
+    return rows.join(small(cut(least.select("key"))), "key", "left_semi").select("row.*")
+
+
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id; rows repeating a doc_id come once.
+    """The documents without those whose component has a smaller doc_id; rows that repeat a doc_id and its text come once.
 
-    Documents with null doc_id stay.
+    Different texts under one doc_id are documents of their own.  Documents with null doc_id are compared with each other only.
     """
-    found = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(small(cut(found)), "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    prepare(docs.sparkSession)
+    known, nulls = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    text = F.struct(F.xxhash64("text"), F.length("text"))
+    if known.groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("not a <=> b").isEmpty():
+        found = jaccard_components(known).where("doc_id != component_id").select("doc_id").distinct()
+        kept = known.join(small(cut(found)), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    else:
+        kept = _keep_by_rows(known)
+    return kept if nulls.isEmpty() else kept.unionByName(_keep_by_rows(nulls))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

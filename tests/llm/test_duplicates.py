@@ -78,6 +78,17 @@ def test_jaccard_edges(spark):
     assert kept.columns == df.columns
 
 
+def test_keep_one_with_shared_ids(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(5, words("a"), 1), (5, words("b"), 2), (5, words("b"), 3), (6, words("a") + " x", 4), (4, words("b") + " x", 5), (7, words("c"), 6), (7, None, 7), (7, None, 8)]
+    rows += [(None, words("d"), 9), (None, words("d"), 10), (None, words("d") + " x", 11), (None, words("e"), 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(3)
+    kept = jaccard.keep_one_per_component(df)
+    got = [(r["doc_id"], (r["text"] or "-")[0]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(5, "a"), (4, "b"), (7, "c"), (7, "-"), (None, "d"), (None, "e")], key=str)
+    assert kept.columns == df.columns
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (1, 30, 400):
