@@ -1,8 +1,8 @@
 """Connected components.
 
-Up to ``LOCAL_EDGES`` edges (counted first) are joined by union-find in one executor task, whose memory that bound limits.
-Beyond it large-star and small-star steps alternate: each is a partial aggregation (least neighbour per node) and a
-join on the node.  Links and components never reach the driver, and no group is gathered in one task.
+Large-star and small-star steps alternate: each is a partial aggregation (least neighbour per node) and a join on the
+node, in DataFrame functions only.  A caller may ask for union-find in one executor task instead, for at most ``local``
+edges (counted first), whose memory that bound limits.  Links and components never reach the driver.
 """
 
 from __future__ import annotations
@@ -56,18 +56,18 @@ def _sum(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", local: int = LOCAL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", local: int = 0) -> DataFrame:
     """``(node, component)`` for each node of an edge; component is the least node reachable.
 
     Null ends and loops are ignored; an empty edge table gives an empty result.
-    Repeated edges count once.
+    Repeated edges count once.  Python runs only where ``local`` is positive and covers the edges.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(
         F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))
     )
     e = cut(e.distinct())
     before = _sum(e)
-    if before[0] <= local:
+    if 0 < before[0] <= local:
         kind = e.schema["u"].dataType.simpleString()
         return e.coalesce(1).mapInArrow(_union_find, f"node {kind}, component {kind}")
     while before[0]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._spark import cut, prepare, small
 from ._text import NON_SPACE, Block, blocks, mix, signed, span_of, window_sums
-from .components import connected_components
+from .components import LOCAL_EDGES, connected_components
 
 SHINGLE = 5
 NUM, DEN = 75, 100
@@ -371,7 +371,7 @@ def jaccard_components(docs: DataFrame, frequent: int = FREQUENT, frequent_token
     bitmaps = cut(_sets(reps, small(cut(lists.select("doc_id").distinct())), True))
     first = verify_pairs(reps, cut(leader_pairs(lists)), bitmaps)
     links = equal.union(first.where("linked").select("x", "y"))
-    known = connected_components(links, "x", "y")
+    known = connected_components(links, "x", "y", LOCAL_EDGES)
     # Lists with several components are left, with their leader's similarities to the other members.
     more = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = more.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(F.struct("pos", "doc_id"))["doc_id"].alias("lead"))
@@ -384,7 +384,7 @@ def jaccard_components(docs: DataFrame, frequent: int = FREQUENT, frequent_token
     second = verify_pairs(reps, cut(rest.join(first.select("x", "y"), ["x", "y"], "left_anti")), bitmaps)
     found = second.where("linked").select("x", "y")
     if not found.isEmpty():
-        known = connected_components(links.union(found), "x", "y")
+        known = connected_components(links.union(found), "x", "y", LOCAL_EDGES)
     known = cut(known.withColumnRenamed("node", "doc_id"))
     out = rows.select("doc_id", "n").join(small(known), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -117,13 +117,16 @@ def rule_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame) -> DataFrame:
     """``page_id, host, path, rule, verdict`` per row of pages (columns page_id, url).
 
-    A null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed.
+    A null or empty URL has an empty host and path, fits no rule, has no aliases and is allowed, without a join, so that
+    such rows are no hot key.  One without ``://`` has an empty host and path too, but may have aliases.
     Repeated rows are judged alike; an empty table gives an empty result; empty rules or edges are fine.
     """
     prepare(pages.sparkSession)
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
+    plain = pages.where("url = ''").select("page_id", F.lit("").alias("host"), F.lit("").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    pages = pages.where("url != ''")
     edges = cut(edges)
-    classes = cut(connected_components(edges, local=0))  # DataFrame functions only
+    classes = cut(connected_components(edges))
     every = pages.select("url").union(classes.select(F.col("node").alias("url")))
     judged = cut(rule_verdicts(every, rules))
     ruled = judged.where("action is not null").select(node_of(F.col("url")).alias("node"), "action")
@@ -133,7 +136,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame) -> DataFra
     blocked = cut(classes.join(spread.where("blocks = 1 and allows = 0"), "component").select("node", F.lit(True).alias("aliased")))
     out = pages.join(judged, "url").withColumn("node", node_of(F.col("url"))).join(small(blocked), "node", "left")
     verdict = F.coalesce("action", F.when(F.col("aliased"), F.lit("block")), F.lit("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict")).unionByName(plain)
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

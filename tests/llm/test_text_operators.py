@@ -8,7 +8,7 @@ import pytest
 from brute import corpus, quality, sha
 from pyspark.sql import functions as F
 
-from biomeframe.llm import chat, html_text, langid, packing, urls
+from biomeframe.llm import _spark, chat, components, html_text, langid, packing, urls
 from biomeframe.llm import quality as rules
 
 DOCS = "doc_id long, text string"
@@ -197,6 +197,73 @@ def test_url_filters(spark):
     assert urls.filter_urls(df.limit(0), rules_, spark.createDataFrame([], "src string, dst string")).collect() == []
 
 
+def url_classes(pages, edges):
+    """Plain Python verdicts of pages (id, url), for edges between nodes."""
+    host = lambda u: u.split("://", 1)[1].replace("?", "/").replace("#", "/").split("/")[0].lower() if "://" in u else ""
+    path = lambda u: (("/" + rest[1]) if len(rest := u.split("://", 1)[1].split("#")[0].split("?")[0].split("/", 1)) > 1 else "") if "://" in u else ""
+    node = lambda u: u.split("#")[0]
+
+    def rule(u):
+        fits = [(len(h + p), a == "allow", h + p, a) for a, h, p in urls.RULES if (host(u) == h or host(u).endswith("." + h)) and path(u).startswith(p)]
+        return max(fits)[2:] if fits else (None, None)
+
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(node(a)), root(node(b))
+        parent[max(x, y)] = min(x, y)
+    seen = {}
+    for u in {u for _, u in pages if u} | {x for e in edges for x in e}:
+        if (action := rule(u)[1]) is not None and node(u) in parent:
+            seen.setdefault(root(node(u)), set()).add(action)
+    out = []
+    for i, u in pages:
+        r, action = rule(u or "")
+        spread = "block" if u and node(u) in parent and seen.get(root(node(u))) == {"block"} else "allow"
+        out.append((i, host(u or ""), path(u or ""), r, action or spread))
+    return sorted(out)
+
+
+def test_url_classes_of_a_random_graph(spark):
+    """Pages whose html links them in long chains, stars and cycles, through page_edges and against plain Python."""
+    rng = random.Random(11)
+    hosts = ["a.com", "x.example.com", "www.example.com", "q.net", "other.org", "third.org", "Far.Org"]
+    url = lambda k: f"http://{hosts[k % 7]}/{'en es fr p'.split()[k % 4]}/{k}"
+    pages, edges = [], []
+    for k in range(400):
+        to = k + 7 if k < 120 else rng.choice([None, None, rng.randrange(400), 399 - k % 5])
+        html = "<p>none</p>"
+        if to is not None and to != k:
+            html = f'<link rel="canonical" href="{url(to)}">' if k % 2 else f'<meta http-equiv="refresh" content="0;url={url(to)}">'
+            edges.append((url(k), url(to)))
+        pages.append((k, url(k) + ("#f" if k % 3 == 0 else ""), html))
+    pages += [(1000 + k, None if k % 2 else "", None) for k in range(50)] + [(1100, "http://gone.org/", '<link rel=canonical href="http://q.net/es/zz">')]
+    edges.append(("http://gone.org/", "http://q.net/es/zz"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    rules_ = spark.createDataFrame(urls.RULES, "action string, host string, path string")
+    got = sorted(map(tuple, urls.filter_urls(df, rules_, urls.page_edges(df)).collect()))
+    want = url_classes([(i, u) for i, u, _ in pages], edges)
+    assert got == want
+    assert len({x[4] for x in want if x[3] is None}) == 2  # aliases are blocked and others are not
+
+
+def test_url_filters_run_no_python(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "http://a/x", '<link rel="canonical" href="http://b/y">')], "page_id long, url string, html string")
+    rules_ = spark.createDataFrame(urls.RULES, "action string, host string, path string")
+    for pages in (df, df.withColumn("html", F.lit("none")), df.limit(0)):
+        plans = []
+        for module in (urls, components):
+            monkeypatch.setattr(module, "cut", lambda x, real=_spark.cut: (plans.append(x._jdf.queryExecution().executedPlan().toString()), real(x))[1])
+        plans.append(urls.filter_urls(pages, rules_, urls.page_edges(pages))._jdf.queryExecution().executedPlan().toString())
+        assert len(plans) > 4
+        assert not any(word in plan for plan in plans for word in ("MapInArrow", "MapInPandas", "EvalPython", "PythonUDF", "InPandas"))
+
+
 def test_page_edges(spark):
     rows = [
         ("http://a/x#f", '<link href="http://b/y" rel="canonical">'), ("http://a/z", "<meta http-equiv=refresh content='0; url=/new'>"),
