@@ -118,19 +118,25 @@ def quality(text):
 
 def lines(docs, min_sites, min_words=3, max_share=0.5):
     """docs: (id, text, site)."""
-    sites = defaultdict(set)
-    for _, t, s in docs:
-        for line in (t or "").split("\n"):
-            if len(SPACE.findall(line)) >= min_words and s is not None:
-                sites[line].add(s)
-    spread = {k for k, v in sites.items() if len(v) >= min_sites}
+    size = lambda x: len(SPACE.findall(x))
+
+    def on_sites(wanted, kept):
+        sites = defaultdict(set)
+        for _, t, s in docs:
+            for line in (t or "").split("\n"):
+                if size(line) >= min_words and s is not None and wanted(line) and kept(t):
+                    sites[line].add(s)
+        return {k for k, v in sites.items() if len(v) >= min_sites}
+
+    spread = on_sites(lambda _: True, lambda _: True)
+    own = lambda t: sum(size(x) for x in t.split("\n") if x in spread) <= max_share * size(t)
+    boilerplate = on_sites(lambda x: x in spread, own)
     out = {}
     for d, t, _ in docs:
         if t is None:
             out[d] = (0, 0, None)
             continue
         ls = t.split("\n")
-        kept = [x for x in ls if x not in spread]
-        few = len(SPACE.findall(t)) * (1 - max_share) <= len(SPACE.findall("\n".join(kept)))
-        out[d] = (len(ls), len(ls) - len(kept), "\n".join(kept)) if few else (len(ls), 0, t)
+        kept = [x for x in ls if x not in boilerplate]
+        out[d] = (len(ls), len(ls) - len(kept), "\n".join(kept))
     return out

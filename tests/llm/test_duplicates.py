@@ -167,12 +167,18 @@ def test_lines(spark):
     rows = [(d, t, None if rng.random() < 0.1 else f"site{rng.randrange(8)}") for d, t in corpus(6, 90)]
     rows += [(1000 + i, f"Read our cookie policy here.\nown words of page {i} stand alone", f"site{i % 8}") for i in range(20)]
     rows += [(2000 + i, f"Read our terms of use.\nother words of page {i}\n", f"site{i % 5}") for i in range(20)]
+    copy = "This page exists\nin copies on many sites\nand has no words of its own"
+    rows += [(3000 + i, copy, f"site{i % 8}") for i in range(12)]
+    rows += [(4000, "Read our cookie policy here.\nshort own line", "site1")]  # mostly boilerplate, and yet cleaned
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     for sites in (5, 6, 9):
-        got = line_dedup.dedup_lines(df, min_sites=sites).select("row.doc_id", "lines", "removed", "kept").collect()
+        got = {r["doc_id"]: (r["lines"], r["removed"], r["kept"]) for r in line_dedup.dedup_lines(df, min_sites=sites).select("row.doc_id", "lines", "removed", "kept").collect()}
         want = lines(rows, sites)
-        assert {r["doc_id"]: (r["lines"], r["removed"], r["kept"]) for r in got} == want
+        assert got == want
         assert (sum(x[1] for x in want.values()) > 0) == (sites < 9)
+        assert got[3000][1] == 0 and got[4000][1] == (sites < 9)
+    every = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(df, min_sites=5, max_share=1.0).select("row.doc_id", "removed").collect()}
+    assert every[3000] == copy.count("\n") + 1 and every == {d: x[1] for d, x in lines(rows, 5, max_share=1.0).items()}
 
 
 def test_lines_edges(spark):
