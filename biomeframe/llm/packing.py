@@ -38,7 +38,7 @@ BUCKET_PIECES = 50_000
 #: Patterns that leave more than one id in so many free are left to best fit.
 WASTE = 512
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 def load_encoder(path: str | None = None, added: dict[str, int] | None = None):
@@ -81,9 +81,9 @@ def _pieces(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Pieces of each document: doc_id, piece, start, length, ids_crc32 and, on request, the ids.
 
-    A null or empty text gives the end id alone.  Repeated rows give repeated pieces.
+    A null or empty text gives the end id alone.  Repeated rows give repeated pieces; ids of any type are kept as they are.
     """
-    schema = PIECES + (", ids array<int>" if keep_ids else "")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_tokenizer(path)
@@ -100,12 +100,12 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END
                     crc.append(zlib.crc32(ids[s : s + n].tobytes()))
                     if keep_ids:
                         kept.append(ids[s : s + n].astype(np.int32))
-            columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            columns = [pa.array(doc, batch.schema.field(0).type), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             if keep_ids:
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def enumerate_patterns(hist: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
