@@ -1,11 +1,15 @@
 """Main-text extraction with site template removal.
 
-Element subtrees of every page are hashed; Spark counts, per host, the pages in which each subtree
-occurs, and subtrees that recur across many pages of their host are deleted before the text is taken.
-Pages with one and the same article count once, so that a copied article's own parts are no template.
-Elements that are furniture by their tag, class, id or role go as well, so that hosts with few pages
-are cleaned too, but not around the only articles.  Inside an article only boxes (not paragraphs, lists and tables) count as template, since
-an article's text may be quoted on many pages of a host.
+1. Element subtrees of every page are hashed; Spark counts, per host, the distinct articles with which each subtree
+   occurs, and subtrees that recur with ``MIN_PAGES`` or more of them are template: they are deleted first.
+   Pages with one and the same article count once, so that a copied article's own parts are no template.
+   Inside an article only boxes (not paragraphs, lists, tables and headings) count, since the texts of different articles
+   of a host may share passages.
+2. Counts cannot see furniture that differs from page to page (reader comments, adverts, forms), nor any on hosts with
+   few pages.  It goes by its tag, or by a word of its class, id or role, but not around the only articles.
+3. The text is that of the articles, where a page has some.
+
+``extract_text`` reports how many characters each of the first two steps deletes.
 """
 
 from __future__ import annotations
@@ -19,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, prepare
+from ._spark import cut, prepare, small
 from .urls import host_of
 
 #: A subtree is template if it occurs on so many pages of its host, however many pages the host has.
 MIN_PAGES = 3
-#: Template marks of so many distinct pages may be broadcast; beyond it pages and marks are shuffled.
+#: Template marks of so many distinct pages may be broadcast, if few bytes too; beyond it pages and marks are shuffled.
 BROADCAST_PAGES = 200_000
 
 # HTML element names by role.
@@ -187,9 +191,14 @@ def page_hashes(source: str | None) -> tuple[str, list[int]]:
 
 
 def main_text(source: str | None, templates: set[int]) -> str:
-    """The text of the article (else of main, else of the body) without furniture and templates."""
+    """The text of the article (else of main, else of the body) without templates and furniture."""
+    return extract(source, templates)[0]
+
+
+def extract(source: str | None, templates: set[int]) -> tuple[str, int, int]:
+    """:func:`main_text`, and the characters of text (blanks around pieces aside) in template subtrees and in other furniture."""
     if not source:
-        return ""
+        return "", 0, 0
     elements, pieces = parse(source)
     has_article = any(e.tag == "article" for e in elements)
     template = {k for k, h in subtree_hashes(source, elements, has_article) if h in templates} if templates else set()
@@ -216,8 +225,14 @@ def main_text(source: str | None, templates: set[int]) -> str:
         text = "".join((html.unescape(p) if "&" in p else p) for a, b in ranges for p in [*(pieces[i] for i in range(a, b) if not gone[i]), " "])
         return " ".join(text.split())
 
+    def characters(which: set[int]) -> int:
+        """Characters in the pieces of the elements and all they hold."""
+        return sum(len(pieces[i].strip()) for i in {i for k in which if elements[k].parent not in which for i in range(elements[k].first, elements[k].last)})
+
     dropped = without(set())
     text = text_without(dropped)
+    in_templates = characters(template)
+    in_furniture = characters(template | furniture) - in_templates
     # Furniture around every article (else main) is opened from outside in, the fullest first, until one is left.
     opened: set[int] = set()
     while (wanted := articles or mains) and all(k in dropped for k in wanted):
@@ -228,10 +243,10 @@ def main_text(source: str | None, templates: set[int]) -> str:
             if k in furniture and k not in template and elements[k].tag not in NEVER_MAIN and not HIDDEN.search(elements[k].attrs):
                 around.add(k)
         if not around:
-            return text
+            return text, in_templates, in_furniture
         opened.add(max(around, key=lambda k: sum(len(pieces[i].strip()) for i in range(elements[k].first, elements[k].last))))
         dropped = without(opened)
-    return max(text, text_without(dropped), key=len) if opened else text
+    return max(text, text_without(dropped), key=len) if opened else text, in_templates, in_furniture
 
 
 def count_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
@@ -253,27 +268,31 @@ def count_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> tuple[DataF
 
 
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``page_id, url, text`` per row of pages (columns page_id, url, html).
+    """``page_id, url, text, template_chars, furniture_chars`` per row of pages (columns page_id, url, html).
+
+    The last two are the characters of text inside template subtrees, and inside other furniture.
 
     Null or empty html gives an empty text; repeated rows give repeated results; an empty
     table gives an empty result; other columns are ignored.
     """
     prepare(pages.sparkSession)
     templates, table = count_templates(pages, min_pages)
-    marks = table.select("key", "host", F.explode("hashes").alias("hash")).join(templates, ["host", "hash"]).groupBy("key").agg(F.collect_list("hash").alias("templates"))
-    marks = cut(marks)
-    marks = F.broadcast(marks) if marks.count() <= BROADCAST_PAGES else marks
+    # A menu is on every page of its host: the templates are broadcast, or else the pages' side of the key is split as skewed.
+    hashes = table.select("key", "host", F.explode("hashes").alias("hash"))
+    marks = cut(hashes.join(small(cut(templates)), ["host", "hash"]).groupBy("key").agg(F.collect_list("hash").alias("templates")))
+    marks = small(marks, BROADCAST_PAGES)
     rows = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("key")).join(marks, "key", "left").select("page_id", "url", "html", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(s.as_py(), set(t.as_py() or ())) for s, t in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            rows = [extract(s.as_py(), set(t.as_py() or ())) for s, t in zip(batch.column(2), batch.column(3))]
+            texts, in_templates, in_furniture = (pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, in_templates, in_furniture], names=["page_id", "url", "text", "template_chars", "furniture_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, template_chars long, furniture_chars long")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "template_chars", "furniture_chars")

@@ -1,6 +1,7 @@
 """Chat formatting, language ID, packing, URL filters, quality rules and HTML extraction."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -384,6 +385,45 @@ def test_templates(spark):
     assert html_text.extract_text(df.limit(0)).collect() == []
 
 
+def simple_templates(rows, min_pages):
+    """Plain Python (host, box) pairs on min_pages distinct pages, for pages that are a row of boxes without nesting."""
+    seen = {}
+    for _, url, html in rows:
+        host = url.split("/")[2]
+        for box in set(re.findall(r"<div>.*?</div>", html)):
+            seen.setdefault((host, box), set()).add(html)
+    return {k for k, pages in seen.items() if len(pages) >= min_pages}
+
+
+def test_templates_against_brute_force(spark):
+    """Random pages of boxes without any word that lists know: what stays is what the counts say, on hosts of all sizes."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        host = rng.choice(["big.org"] * 6 + [f"h{k}.org" for k in range(12)])
+        boxes = [f"<div>{host} block {rng.choice([1, 1, 2, 3, rng.randrange(60)])}</div>" for _ in range(rng.randrange(0, 4))] + [f"<div>own {rng.randrange(250)} words</div>"]
+        rng.shuffle(boxes)
+        rows.append((i, f"http://{host}/{i}", "<body>" + "".join(boxes) + "</body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r for r in html_text.extract_text(df).collect()}
+    templates = simple_templates(rows, html_text.MIN_PAGES)
+    for i, url, html in rows:
+        boxes = re.findall(r"<div>.*?</div>", html)
+        left = [b for b in boxes if (url.split("/")[2], b) not in templates]
+        assert got[i]["text"] == " ".join(b[5:-6] for b in left)
+        assert got[i]["template_chars"] == sum(len(b) - 11 for b in boxes if b not in left) and got[i]["furniture_chars"] == 0
+    without = {i: html_text.main_text(html, set()) for i, _, html in rows}
+    assert sum(got[i]["text"] != without[i] for i in without) > 150  # the counts do this work, nothing else
+
+
+def test_extraction_reports_what_each_step_deletes():
+    html = "<body><div>ab cd</div><nav>xyz</nav><article><p>text</p></article></body>"
+    elements, _ = html_text.parse(html)
+    box = next(h for k, h in html_text.subtree_hashes(html, elements, True) if elements[k].tag == "div")
+    assert html_text.extract(html, {box}) == ("text", 5, 3) and html_text.extract(html, set()) == ("text", 0, 3)
+    assert html_text.extract(None, set()) == ("", 0, 0)
+
+
 def test_templates_of_a_large_host(spark):
     notice = "<div><p>This section moves next week</p></div>"
     rows = [(i, f"http://big.org/{i}", f"<body>{notice if i < 4 else ''}<div><p>Story {i} of a large host</p></div></body>") for i in range(60)]
