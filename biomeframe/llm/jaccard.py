@@ -11,11 +11,15 @@ is the least document reachable by links.  Every link between different texts co
 * Index-level skipping: linked sets are found at the latest in the list of their first shared token, and there ``n - pos``
   of either set bounds their overlap, with ``pos`` the token's place in the set's order.  Lists are scanned in blocks by
   size; sets and blocks whose sizes or places allow no link are skipped.  Lists with equal members are scanned once.
-* Answer-level skipping: each list's most central set (least ``pos``: it has the fewest rare tokens) is compared with
-  the others (round 1).  Sets already connected derive their answers from each other: in round 2 only pairs in different
-  components are left, and known similarities to the leader rule out pairs by the triangle inequality of the distance.
+* Answer-level skipping: the answers of each list's leader, its most central set (least ``pos``: it has the fewest rare
+  tokens), are computed in round 1 and kept as overlaps.  In round 2 the other sets derive theirs from them, incrementally:
+  a set that is tied to another already needs no answer about it; otherwise the two overlaps with the leader and the tokens
+  outside it bound the overlap of the two from below (a link) and from above (none), and only pairs left open are compared.
 * Candidate pairs are refuted by parity bitmaps (the number of differing bits bounds the symmetric difference
   from below) and only then verified exactly on the sets.
+* Lists longer than ``LIST_ROWS`` are never gathered in a task: their names, leaders and components come from aggregations,
+  and round 2 compares the sets outside the list's largest component with chunks of the list.
+* Texts are split into shingles twice: to measure all sets, and to write those of the classes once.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut, prepare, small
-from ._text import NON_SPACE, Block, blocks, mix, signed, span_of, window_sums
+from ._text import NON_SPACE, Block, blocks, buffers, mix, signed, span_of, window_sums
 from .components import LOCAL_EDGES, connected_components
 
 SHINGLE = 5
@@ -40,7 +44,7 @@ ROUNDS = 5
 #: Frequent tokens that travel to the tasks; with more, only the most frequent ones are moved to the end, which
 #: changes the order of tokens (the same for all sets) but no result.
 FREQUENT_TOKENS = 2_000_000
-#: Rows of a list held at a time.
+#: Rows of a list held at a time; longer lists are split over tasks.
 LIST_ROWS = 1024
 
 
@@ -112,29 +116,50 @@ def token_places(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> np.
     return np.where(late, early + lates, place - lates)
 
 
-def frequent_tokens(docs: DataFrame, least: int = FREQUENT, most: int = FREQUENT_TOKENS, rounds: int = ROUNDS) -> np.ndarray:
+def write_sets(docs: DataFrame) -> DataFrame:
+    """``doc_id, s``: the sorted hashes of each non-empty set, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch.column(1), NON_SPACE, True):
+                h, bounds = shingle_sets(b)
+                raw = h.view(np.uint8)
+                out = pa.array([raw[8 * x : 8 * y].tobytes() for x, y in zip(bounds, bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), out], names=["doc_id", "s"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s binary").where("length(s) > 0")
+
+
+def _read(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and bounds of a column of sets."""
+    offsets, raw = buffers(col)
+    return np.frombuffer(raw.tobytes(), np.uint64), offsets // 8
+
+
+def frequent_tokens(sets: DataFrame, least: int = FREQUENT, most: int = FREQUENT_TOKENS, rounds: int = ROUNDS) -> np.ndarray:
     """Sorted tokens that are in ``least`` or more prefixes, at most ``most`` of them (then the most frequent ones).
 
     The first round counts the prefixes by hash; each further one counts the tokens that moved into a prefix as others
     went to the end.  Near copies in large groups share all their tokens, so a prefix's worth of them is found a round.
     """
+    context = sets.sparkSession.sparkContext
     none = np.zeros(0, np.uint64)
     before, now = None, none
     spare = most
     for _ in range(rounds):
-        old, new = before, now
+        shared = context.broadcast((before, now))
 
-        def run(batches: Iterator[pa.RecordBatch], old=old, new=new) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            old, new = shared.value
             for batch in batches:
-                for b in blocks(batch.column(0), NON_SPACE, True):
-                    h, bounds = shingle_sets(b)
-                    size = np.repeat(prefix_size(np.diff(bounds)), np.diff(bounds))
-                    chosen = token_places(h, bounds, new) < size
-                    if old is not None:
-                        chosen &= token_places(h, bounds, old) >= size
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[chosen]))], names=["t"])
-
-        counts = cut(docs.select("text").mapInArrow(run, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+                h, bounds = _read(batch.column(0))
+                size = np.repeat(prefix_size(np.diff(bounds)), np.diff(bounds))
+                chosen = token_places(h, bounds, new) < size
+                if old is not None:
+                    chosen &= token_places(h, bounds, old) >= size
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[chosen]))], names=["t"])
+
+        counts = cut(sets.select("s").mapInArrow(run, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
         bar = least
         while counts.where(F.col("n") >= bar).count() > spare:
             bar *= 2
@@ -164,21 +189,24 @@ def bitmap_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def index_entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``token, doc_id, n, pos`` of each set's prefix."""
+def index_entries(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``token, doc_id, n, pos, late`` of each set's prefix; late tokens are frequent ones."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
         for batch in batches:
-            for b in blocks(batch.column(1), NON_SPACE, True):
-                h, bounds = shingle_sets(b)
-                n = np.repeat(np.diff(bounds), np.diff(bounds))
-                owner = np.repeat(np.arange(b.n), np.diff(bounds))
-                pos = token_places(h, bounds, frequent)
-                keep = pos < prefix_size(n)
-                ids = batch.column(0).slice(b.first, b.n).take(pa.array(owner[keep]))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep])), ids, pa.array(n[keep], pa.int32()), pa.array(pos[keep], pa.int32())], names=["token", "doc_id", "n", "pos"])
+            h, bounds = _read(batch.column(1))
+            n = np.repeat(np.diff(bounds), np.diff(bounds))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            pos = token_places(h, bounds, last)
+            keep = pos < prefix_size(n)
+            late = np.isin(h[keep], last) if len(last) else np.zeros(int(keep.sum()), bool)
+            ids = batch.column(0).take(pa.array(owner[keep]))
+            columns = [pa.array(signed(h[keep])), ids, pa.array(n[keep], pa.int32()), pa.array(pos[keep], pa.int32()), pa.array(late)]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "doc_id", "n", "pos", "late"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long, n int, pos int")
+    return sets.select("doc_id", "s").mapInArrow(run, "token long, doc_id long, n int, pos int, late boolean")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -202,10 +230,11 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def index_lists(entries: DataFrame) -> DataFrame:
+def index_lists(entries: DataFrame, long: int = LIST_ROWS) -> DataFrame:
     """``list, doc_id, n, pos`` of the lists with two sets or more; a list is named by a hash of its members.
 
-    Of lists with equal members the least places hold, the first shared token's among them.
+    Of lists with equal members the least places hold, the first shared token's among them.  Tokens with more than ``long``
+    sets, found among the late ones, get their name from an aggregation.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +253,17 @@ def index_lists(entries: DataFrame) -> DataFrame:
             name = np.repeat(mix(name[bounds[1:]] - name[bounds[:-1]] + size.astype(np.uint64)), size)
             yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(d), pa.array(n, pa.int32()), pa.array(p, pa.int32())], names=["list", "doc_id", "n", "pos"])
 
+    name = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h")
+    hot = cut(entries.where("late").groupBy("token").agg(F.count(F.lit(1)).alias("c"), name).where(F.col("c") > long))
     parts = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = entries.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "list long, doc_id long, n int, pos int")
+    entries = entries.select("token", "doc_id", "n", "pos")
+    if hot.isEmpty():
+        usual, more = entries, None
+    else:
+        tokens = small(cut(hot.select("token", F.xxhash64("h", "c").alias("list"))))
+        usual, more = entries.join(tokens, "token", "left_anti"), entries.join(tokens, "token").select("list", "doc_id", "n", "pos")
+    rows = usual.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "list long, doc_id long, n int, pos int")
+    rows = rows if more is None else rows.unionByName(more)
     return rows.groupBy("list", "doc_id", "n").agg(F.min("pos").alias("pos"))
 
 
@@ -235,7 +273,7 @@ def _may_link(n1, pos1, n2, pos2):
 
 
 def leader_pairs(lists: DataFrame) -> DataFrame:
-    """Round 1: ``(x, y)``, each list's sets with its leader, and with their neighbour along the sizes.
+    """Round 1: ``(x, y)``, each list's sets with its leader, and with their neighbour along the sizes; sorted lists.
 
     The leader is the set of least ``pos`` (then doc_id); neighbours serve where the leader's size is too far off.
     """
@@ -256,66 +294,88 @@ def leader_pairs(lists: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
 
-    return lists.mapInArrow(run, "x long, y long").distinct()
+    return lists.mapInArrow(run, "x long, y long")
+
+
+def long_leader_pairs(lists: DataFrame) -> DataFrame:
+    """Round 1 of long lists (with columns lead, lead_n, lead_pos), row by row."""
+    a, b, pa_, pb = F.col("n"), F.col("lead_n"), F.col("pos"), F.col("lead_pos")
+    need = F.ceil(NUM * (a + b) / (NUM + DEN))
+    ok = (DEN * F.least(a, b) >= NUM * F.greatest(a, b)) & (F.least(a - pa_, b - pb) >= need) & (F.col("doc_id") != F.col("lead"))
+    return lists.where(ok).select(F.least("doc_id", "lead").alias("x"), F.greatest("doc_id", "lead").alias("y"))
+
+
+def derived_overlap(both1, both2, n1, n2, lead):
+    """Bounds of the overlap of two sets from their overlaps with a leader of size ``lead``.
+
+    Outside the leader only tokens that both have there can be shared; inside it, both sets' parts overlap at least by
+    what the leader has no room for.
+    """
+    return both1 + both2 - lead, np.minimum(both1, both2) + np.minimum(n1 - both1, n2 - both2)
 
 
 def remaining_pairs(lists: DataFrame) -> DataFrame:
-    """Round 2: pairs of a list in different components that bounds and known similarities do not rule out.
+    """Round 2: pairs ``x, y`` of a list in different components that sizes, places and the leader's answers leave open.
 
-    ``lists`` has, besides, ``component`` and ``sim`` (the verified similarity to the list's leader, or NaN).
+    ``lists``, sorted by ``key``, has ``component``, ``both`` (the overlap with the list's leader, -1 if unknown), ``lead_n``
+    (the leader's size) and ``part``: pairs are formed within part 0, or of a row of part 1 and one of part 2.
+    ``linked`` pairs are links by the lower bound and need no comparison.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, "list"):
-            k, d, n, pos, c = (table.column(x).to_numpy().astype(np.int64) for x in ("list", "doc_id", "n", "pos", "component"))
-            far = 1 - table.column("sim").to_numpy().astype(float)  # distance to the leader; NaN if unknown
+        for table in _runs(batches, "key"):
+            k, d, n, pos, c, both, lead, part = (table.column(x).to_numpy().astype(np.int64) for x in ("key", "doc_id", "n", "pos", "component", "both", "lead_n", "part"))
             start = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
             found = []
             for s, e in zip(start, start[1:]):
-                live = np.arange(s, e)
-                if (c[live] == c[s]).all():
+                rows = np.arange(s, e)
+                if (c[rows] == c[s]).all():
                     continue  # one component: every answer is known
-                for i0 in range(0, len(live), LIST_ROWS):
-                    i = live[i0 : i0 + LIST_ROWS]
-                    for j0 in range(i0, len(live), LIST_ROWS):
-                        j = live[j0 : j0 + LIST_ROWS]
+                alone = part[s] == 0
+                left, right = (rows, rows) if alone else (rows[part[rows] == 1], rows[part[rows] == 2])
+                for i0 in range(0, len(left), LIST_ROWS):
+                    i = left[i0 : i0 + LIST_ROWS]
+                    for j0 in range(i0 if alone else 0, len(right), LIST_ROWS):
+                        j = right[j0 : j0 + LIST_ROWS]
                         if NUM * n[j[0]] > DEN * n[i[-1]]:
                             break  # sizes only grow from here
-                        ok = (j[None] > i[:, None]) & (c[j][None] != c[i][:, None])
+                        ok = (d[j][None] != d[i][:, None]) & (c[j][None] != c[i][:, None])
+                        if alone:
+                            ok &= j[None] > i[:, None]
                         ok &= _may_link(n[i][:, None], pos[i][:, None], n[j][None], pos[j][None])
-                        with np.errstate(invalid="ignore"):
-                            ok &= ~(np.abs(far[i][:, None] - far[j][None]) > 0.25 + 1e-9)
                         p, q = np.nonzero(ok)
-                        if len(p):
-                            found.append(np.stack([d[i[p]], d[j[q]]], 1))
+                        x, y = i[p], j[q]
+                        low, high = derived_overlap(both[x], both[y], n[x], n[y], lead[x])
+                        need = least_overlap(n[x], n[y])
+                        known = (both[x] >= 0) & (both[y] >= 0)
+                        keep = ~known | (high >= need)
+                        if keep.any():
+                            x, y, linked = x[keep], y[keep], (known & (low >= need))[keep]
+                            found.append(np.stack([np.minimum(d[x], d[y]), np.maximum(d[x], d[y]), linked], 1))
             if found:
-                pairs = np.concatenate(found)
-                pairs = np.unique(np.stack([pairs.min(1), pairs.max(1)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["x", "y", "linked"])
 
-    return lists.mapInArrow(run, "x long, y long").distinct()
+    return lists.mapInArrow(run, "x long, y long, linked boolean").groupBy("x", "y").agg(F.max("linked").alias("linked"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, bitmaps: bool) -> DataFrame:
-    """``doc_id, n, s`` of the wanted documents: the set's sorted hashes (6 bytes each) or its parity bitmap."""
+def write_bitmaps(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, n, s``: size and parity bitmap of the wanted sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(1), NON_SPACE, True):
-                h, bounds = shingle_sets(b)
-                low = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
-                out = []
-                for x, y in zip(bounds, bounds[1:]):
-                    out.append(parity_bitmap(h[x:y]) if bitmaps else low[x:y, 2:].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), pa.array(np.diff(bounds), pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "n", "s"])
+            h, bounds = _read(batch.column(1))
+            out = [parity_bitmap(h[x:y]) for x, y in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "n", "s"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n int, s binary")
+    return sets.join(ids, "doc_id", "left_semi").select("doc_id", "s").mapInArrow(run, "doc_id long, n int, s binary")
 
 
-def _hashes(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many hashes two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, bitmaps: bool) -> DataFrame:
@@ -329,7 +389,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, bitmaps: bool) -> DataFrame:
                 if bitmaps:
                     out[i] = bitmap_difference(s1.as_buffer(), s2.as_buffer())
                 else:
-                    out[i] = len(np.intersect1d(_hashes(s1.as_buffer()), _hashes(s2.as_buffer()), assume_unique=True))
+                    out[i] = _common(np.frombuffer(s1.as_buffer(), np.uint64), np.frombuffer(s2.as_buffer(), np.uint64))
             total = n1.astype(np.int64) + n2
             keep = total - 2 * least_overlap(n1.astype(np.int64), n2.astype(np.int64)) >= out if bitmaps else np.ones(len(out), bool)
             cols = [batch.column(0), batch.column(1), pa.array(n1), pa.array(n2), pa.array(out)]
@@ -341,17 +401,45 @@ def _compare(pairs: DataFrame, sets: DataFrame, bitmaps: bool) -> DataFrame:
     return joined.mapInArrow(run, "x long, y long, n1 int, n2 int, both long")
 
 
-def verify_pairs(docs: DataFrame, pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``x, y, sim, linked`` of the pairs that the bitmaps do not refute."""
+def verify_pairs(sets: DataFrame, pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``x, y, both, linked`` of the pairs that the bitmaps do not refute."""
     left = cut(_compare(pairs, bitmaps, True).select("x", "y"))
     ids = cut(left.select(F.col("x").alias("doc_id")).union(left.select("y")).distinct())
-    both = _compare(left, cut(_sets(docs, small(ids), False)), False)
-    union = F.col("n1") + F.col("n2") - F.col("both")
-    return cut(both.select("x", "y", (F.col("both") / union).alias("sim"), (DEN * F.col("both") >= NUM * union).alias("linked")))
+    wanted = cut(sets.join(small(ids), "doc_id", "left_semi").select("doc_id", (F.length("s") / 8).cast("int").alias("n"), "s"))
+    both = _compare(left, wanted, False)
+    return cut(both.select("x", "y", "both", (DEN * F.col("both") >= NUM * (F.col("n1") + F.col("n2") - F.col("both"))).alias("linked")))
+
 
+def _second_round(lists: DataFrame, known: DataFrame, first: DataFrame, leads: DataFrame | None) -> DataFrame:
+    """Rows of :func:`remaining_pairs`, but for ``key`` and ``part``: members of lists with several components.
 
-def jaccard_components(docs: DataFrame, frequent: int = FREQUENT, frequent_tokens_most: int = FREQUENT_TOKENS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row.
+    ``leads`` (long lists): list, lead, lead_n and others; lists without it are short enough for a join on their name.
+    """
+    more = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    lead = F.min(F.struct("pos", "doc_id", "n"))
+    mixed = more.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b"), lead["doc_id"].alias("lead"), lead["n"].alias("lead_n"))
+    mixed = mixed.where("a < b").select("list", "lead", "lead_n")
+    more = more.join(mixed if leads is None else small(cut(mixed)), "list")
+    answers = first.select(F.col("x").alias("lead"), F.col("y").alias("doc_id"), "both").union(first.select("y", "x", "both"))
+    more = more.join(answers, ["lead", "doc_id"], "left")
+    both = F.when(F.col("doc_id") == F.col("lead"), F.col("n")).otherwise(F.coalesce("both", F.lit(-1))).cast("long")
+    return more.select("list", "doc_id", "n", "pos", "component", both.alias("both"), "lead_n")
+
+
+def _chunks(more: DataFrame, size: int = LIST_ROWS) -> DataFrame:
+    """Long lists for :func:`remaining_pairs`: chunks of a list (part 2), each with all sets outside the largest component (part 1)."""
+    counts = cut(more.groupBy("list", "component").agg(F.count(F.lit(1)).alias("c")))
+    lists = counts.groupBy("list").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.ceil(F.sum("c") / size).cast("int").alias("chunks"))
+    more = more.join(small(cut(lists)), "list")
+    key = lambda chunk: F.xxhash64("list", chunk).alias("key")
+    cols = ["doc_id", "n", "pos", "component", "both", "lead_n"]
+    every = more.select(key(F.pmod(F.hash("doc_id"), F.col("chunks")).cast("int")), *cols, F.lit(2).alias("part"))
+    outside = more.where("component != main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return every.unionByName(outside.select(key(F.col("chunk")), *cols, F.lit(1).alias("part")))
+
+
+def jaccard_components(docs: DataFrame, frequent: int = FREQUENT, frequent_tokens_most: int = FREQUENT_TOKENS, list_rows: int = LIST_ROWS) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row; doc_id is an integer.
 
     Null and empty texts have empty sets, link with nothing and are their own component.  Rows with equal sets are
     linked; rows that repeat a doc_id are joined under it.  A null doc_id takes no part in links.
@@ -362,27 +450,29 @@ def jaccard_components(docs: DataFrame, frequent: int = FREQUENT, frequent_token
     classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")))
     equal = rows.select("doc_id", "n", "f1", "f2").join(small(classes.where("most > rep")), ["n", "f1", "f2"]).where("doc_id > rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     equal = cut(equal)
-    others = small(equal.select(F.col("x").alias("doc_id")).distinct())
-    reps = docs.where("doc_id is not null").join(others, "doc_id", "left_anti")
-    token = frequent_tokens(reps, frequent, frequent_tokens_most)
-    lists = cut(index_lists(index_entries(reps, token)))
+    others = small(cut(equal.select(F.col("x").alias("doc_id")).distinct()))
+    sets = cut(write_sets(docs.where("doc_id is not null").join(others, "doc_id", "left_anti")))
+    token = frequent_tokens(sets, frequent, frequent_tokens_most)
+    lists = cut(index_lists(index_entries(sets, token), list_rows))
+    lead = F.min(F.struct("pos", "doc_id", "n"))
+    long = cut(lists.groupBy("list").agg(F.count(F.lit(1)).alias("c"), lead["doc_id"].alias("lead"), lead["n"].alias("lead_n"), lead["pos"].alias("lead_pos")).where(F.col("c") > list_rows).drop("c"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lists = cut(lists.repartition(parts, "list").sortWithinPartitions("list", "n", "doc_id"))
-    bitmaps = cut(_sets(reps, small(cut(lists.select("doc_id").distinct())), True))
-    first = verify_pairs(reps, cut(leader_pairs(lists)), bitmaps)
+    order = lambda df, key: df.repartition(parts, key).sortWithinPartitions(key, "n", "doc_id")
+    some_long = not long.isEmpty()
+    short, extra = (lists.join(small(long), "list", "left_anti"), lists.join(small(long), "list")) if some_long else (lists, None)
+    bitmaps = cut(write_bitmaps(sets, small(cut(lists.select("doc_id").distinct()))))
+    pairs = leader_pairs(order(short, "list"))
+    first = verify_pairs(sets, cut((pairs.union(long_leader_pairs(extra)) if some_long else pairs).distinct()), bitmaps)
     links = equal.union(first.where("linked").select("x", "y"))
-    known = connected_components(links, "x", "y", LOCAL_EDGES)
-    # Lists with several components are left, with their leader's similarities to the other members.
-    more = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = more.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(F.struct("pos", "doc_id"))["doc_id"].alias("lead"))
-    more = more.join(mixed.where("a < b").select("list", "lead"), "list")
-    sims = first.select(F.col("x").alias("lead"), F.col("y").alias("doc_id"), "sim").union(first.select(F.col("y"), F.col("x"), "sim"))
-    more = more.join(sims, ["lead", "doc_id"], "left")
-    more = more.withColumn("sim", F.when(F.col("doc_id") == F.col("lead"), F.lit(1.0)).otherwise(F.coalesce("sim", F.lit(float("nan")))))
-    more = more.select("list", "doc_id", "n", "pos", "component", "sim").repartition(parts, "list").sortWithinPartitions("list", "n", "doc_id")
-    rest = cut(remaining_pairs(more))
-    second = verify_pairs(reps, cut(rest.join(first.select("x", "y"), ["x", "y"], "left_anti")), bitmaps)
-    found = second.where("linked").select("x", "y")
+    known = cut(connected_components(links, "x", "y", LOCAL_EDGES))
+    more = _second_round(short, known, first, None).withColumnRenamed("list", "key").withColumn("part", F.lit(0))
+    rest = remaining_pairs(order(more, "key"))
+    if some_long:
+        rest = rest.union(remaining_pairs(order(_chunks(cut(_second_round(extra.select(*lists.columns), known, first, long)), list_rows), "key")))
+    rest = cut(rest)
+    open_ = rest.where("not linked").select("x", "y").distinct()
+    second = verify_pairs(sets, cut(open_.join(first.select("x", "y"), ["x", "y"], "left_anti")), bitmaps)
+    found = second.where("linked").select("x", "y").union(rest.where("linked").select("x", "y"))
     if not found.isEmpty():
         known = connected_components(links.union(found), "x", "y", LOCAL_EDGES)
     known = cut(known.withColumnRenamed("node", "doc_id"))

@@ -46,8 +46,8 @@ def test_subtree_nodes():
 
 def test_jaccard(spark, docs):
     want = components(corpus())
-    for frequent, most in ((64, 1000), (2, 1_000_000), (2, 3)):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, frequent, most).collect()}
+    for frequent, most, rows in ((64, 1000, 1024), (2, 1_000_000, 3), (2, 3, 1024)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, frequent, most, rows).collect()}
         assert got == want
     assert len({c for _, c in want.values()}) < len(want) - 10
 
@@ -89,6 +89,36 @@ def test_keep_one_with_shared_ids(spark):
     assert kept.columns == df.columns
 
 
+def test_jaccard_long_lists(spark):
+    """Several groups of near copies around one common passage, in lists longer than list_rows, and a very long text."""
+    rng = random.Random(8)
+    rows, base = [], [f"b{i}" for i in range(60)]
+    for g in range(4):
+        w = base[:30] + [f"g{g}x{i}" for i in range(30)] if g else base
+        for k in range(14):
+            t = list(w)
+            for _ in range(rng.randrange(0, 4)):
+                t[rng.randrange(len(t))] = f"r{rng.randrange(10**6)}"
+            rows.append((g * 100 + k, " ".join(t)))
+    long = [f"v{rng.randrange(3000)}" for _ in range(120_000)]
+    rows += [(900, " ".join(long)), (901, " ".join(long[:-500])), (902, " ".join(long[:60_000]))]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for frequent, limit in ((2, 4), (4, 8)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, frequent, 1_000_000, limit).collect()}
+        assert got == components(rows)
+    assert got[901][1] == 900 and got[902][1] == 902
+
+
+def test_derived_overlaps():
+    """The bounds from a leader's answers hold, and round 2 leaves open or links exactly what they say."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        lead, a, b = (np.unique(rng.integers(0, 40, rng.integers(1, 40))) for _ in range(3))
+        low, high = jaccard.derived_overlap(*(np.array(len(np.intersect1d(x, lead))) for x in (a, b)), len(a), len(b), len(lead))
+        assert low <= len(np.intersect1d(a, b)) <= high
+        assert jaccard._common(a, b) == len(np.intersect1d(a, b))
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (1, 30, 400):
