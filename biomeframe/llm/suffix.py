@@ -7,12 +7,15 @@ A repeat is a sequence of ``window`` words that also starts in a document with a
    places.  Suffixes are grouped by their anchor; an anchor seen in one document only is done.
    Occurrences with equal surroundings (all words that a window around the anchor can reach) are settled
    by an aggregation: everything there also starts in the least document of that class.
-3. Of each anchor's different surroundings the least document's one goes into the anchor's subtree: the
-   suffixes of all windows around the anchor, cut at ``window`` words, sorted by their words in blocks.
-   Neighbours' common prefixes give the internal nodes; nodes of depth ``window`` are the
-   maximal repeats to look at, and all their leaves but those of the least document are removed.
-4. Prefixes have variable length: an anchor with more than ``GROUP`` different surroundings is split by the suffixes'
-   whole prefix of ``window`` words, which a partial aggregation in Spark takes, so no group must fit a task.
+3. Prefixes have variable length: the group of an anchor with more than ``GROUP`` different surroundings is split by longer
+   ones, step by step until a group fits: the anchor and what follows, to twice and then four times its length, for the windows
+   that reach so far; for the other windows, which then begin well before the anchor, their words before it.  Groups
+   in one document are done.  Windows of groups that no such prefix makes small are settled by their whole words, in an aggregation.
+4. Of each group's different surroundings the least document's one goes into the group's subtree: the
+   suffixes of all windows around the anchor, sorted by their words in blocks.
+   Neighbours' common prefixes give the internal nodes.  Below a node of depth ``window`` or more, each leaf repeats the
+   least document's leaf over their common prefix, however far it goes: with the leaves before the anchor that do so too,
+   this is a maximal repeat within the surroundings, and it is removed.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ GRAM = 8
 #: Different surroundings of an anchor that one in-memory subtree takes; each is at most 2 * window words.
 GROUP = 4096
 BLOCK_WORDS = 8
-#: Documents with ranges that may be broadcast to the documents; beyond it texts are shuffled.
+#: Documents with ranges that may be broadcast to the documents, if they take few bytes too; beyond it texts are shuffled.
 BROADCAST_DOCS = 250_000
 
 
@@ -69,8 +72,47 @@ def anchors_of_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, h long, n_words long, anchors array<struct<a:bigint,c:bigint,pos:int,left:int,right:int>>")
 
 
-def _surroundings(docs: DataFrame, wanted: DataFrame, window: int, hot: bool) -> DataFrame:
-    """The words (as hashes) around the wanted anchors of each document; or, if hot, one row per window."""
+def _steps(window: int, gram: int) -> list[tuple[str, int, int, int, int]]:
+    """``(name, before, after, first o, last o)`` of the longer prefixes: words around the anchor that all windows starting
+    ``o`` words before it, for these o, hold."""
+    one, two = min(2 * gram, window), min(4 * gram, window)
+    steps = [("k0", 0, one, 0, window - one), ("k1", window - one + 1, gram, window - one + 1, window - gram)]
+    return [*steps, ("k00", 0, two, 0, window - two), ("k01", window - two + 1, one, window - two + 1, window - one)]
+
+
+_WANTED = ("h", "a", "pos", "left", "right", "low", "high")
+_OUT = {
+    "words": "a long, pos int, left int, right int, low int, high int, words binary",
+    "keys": "a long, pos int, left int, right int, k0 long, k1 long, k00 long, k01 long",
+    "windows": "a long, fp long, s int",
+}
+
+
+def _surroundings(docs: DataFrame, wanted: DataFrame, window: int, mode: str, gram: int = GRAM) -> DataFrame:
+    """For the wanted anchors of each document: the words (as hashes) around them, or the keys of their longer prefixes
+    (0 for none), or one row per window; with doc_id and h."""
+    steps = _steps(window, gram)
+    schema = _OUT[mode] + ", doc_id long, h long"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rows(b, i: int, want: dict[str, np.ndarray], sums: np.ndarray) -> list:
+        a, pos, left, right, low, high = (want[k] for k in _WANTED[1:])
+        at = b.wfirst[i] + pos
+        if mode == "windows":
+            o = np.arange(int(high.max()) + 1)[None]
+            k, o = np.nonzero((o >= low[:, None]) & (o <= np.minimum(left, high)[:, None]) & (window - o <= right[:, None]))
+            start = at[k] - o
+            return [a[k], signed(mix(span_of(sums, start, start + window) ^ mix(o.astype(np.uint64)))), start - b.wfirst[i]]
+        if mode == "keys":
+            keys = []
+            for _, before, after, first, last in steps:
+                has = (left >= before) & (right >= after) & (first <= last)
+                key = np.zeros(len(a), np.int64)
+                key[has] = signed(span_of(sums, at[has] - before, at[has] + after))
+                keys.append(key)
+            return [a, pos, left, right, *keys]
+        left = np.minimum(left, high)
+        return [a, pos, left, right, low, high, [b.words[p - x : p + y].tobytes() for p, x, y in zip(at, left, right)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,96 +120,86 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, window: int, hot: bool) ->
             for b in blocks(batch.column(1), NON_SPACE, False):
                 sums = window_sums(b.words)
                 whole = signed(span_of(sums, b.wfirst[:-1], b.wfirst[1:]))
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in names]
                 for i in range(b.n):
-                    want = wants[b.first + i].values
-                    h, a, pos, left, right = (want.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-                    keep = h == whole[i]
-                    a, pos, left, right = (x[keep].astype(np.int64) for x in (a, pos, left, right))
-                    at, doc = b.wfirst[i] + pos, ids[b.first + i].as_py()
-                    if hot:
-                        o = np.arange(int(left.max()) + 1 if len(left) else 0)[None]
-                        ok = (o <= left[:, None]) & (window - o <= right[:, None])
-                        k, o = np.nonzero(ok)
-                        start = at[k] - o
-                        fp = signed(mix(span_of(sums, start, start + window) ^ mix(o.astype(np.uint64))))
-                        cols = (a[k], fp, start - b.wfirst[i])
-                        for x, y in zip(out, cols):
-                            x.append(y)
-                        out[5].append(np.full(len(k), doc, np.int64))
-                        out[6].append(np.full(len(k), whole[i], np.int64))
-                    else:
-                        out[0].append(a)
-                        out[1].append(pos)
-                        out[2].append(left)
-                        out[3].append(right)
-                        out[4].extend(b.words[p - x : p + y].tobytes() for p, x, y in zip(at, left, right))
-                        out[5].append(np.full(len(a), doc, np.int64))
-                        out[6].append(np.full(len(a), whole[i], np.int64))
-                flat = lambda k: np.concatenate(out[k]) if out[k] else np.zeros(0, np.int64)
-                if hot:
-                    cols = [pa.array(flat(0)), pa.array(flat(1)), pa.array(flat(2), pa.int32()), pa.array(flat(5)), pa.array(flat(6))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["a", "fp", "s", "doc_id", "h"])
-                else:
-                    cols = [pa.array(flat(0)), *(pa.array(flat(k), pa.int32()) for k in (1, 2, 3)), pa.array(out[4], pa.binary()), pa.array(flat(5)), pa.array(flat(6))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["a", "pos", "left", "right", "words", "doc_id", "h"])
-
-    schema = "a long, fp long, s int, doc_id long, h long" if hot else "a long, pos int, left int, right int, words binary, doc_id long, h long"
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "a", "pos", "left", "right")).alias("wants"))
-    lists = cut(lists)
+                    own = wants[b.first + i].values
+                    want = {k: own.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j, k in enumerate(_WANTED)}
+                    keep = want["h"] == whole[i]
+                    if not keep.any():
+                        continue
+                    cols = rows(b, i, {k: x[keep] for k, x in want.items()}, sums)
+                    n = len(cols[0])
+                    for to, x in zip(out, [*cols, np.full(n, ids[b.first + i].as_py()), np.full(n, whole[i])]):
+                        to.append(x)
+                flat = [[w for x in out[k] for w in x] if f.name == "words" else (np.concatenate(out[k]) if out[k] else np.zeros(0, np.int64)) for k, f in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(flat, kinds)], names=names)
+
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = [pa.field(x.split()[0], types[x.split()[1]]) for x in schema.split(", ")]
+    lists = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*_WANTED)).alias("wants")))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(lists, BROADCAST_DOCS), "doc_id").select("doc_id", "text", "wants").mapInArrow(run, schema)
 
 
-def subtree_repeats(group: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, words: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The subtrees of some anchors, all at once: (row, offset before the anchor) of each leaf to remove.
+def subtree_repeats(
+    group: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, words: list[np.ndarray], window: int = WINDOW, low: np.ndarray | None = None, high: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subtrees of some groups, all at once: (row, offset before the anchor, depth) of each leaf to remove.
 
     Row r holds ``words[r]`` around its anchor, ``left[r]`` of them before it.  A suffix starts ``o`` words before the
-    anchor; suffixes of one subtree are those with equal anchor and equal ``o``.
+    anchor (from low[r] to high[r]); suffixes of one subtree are those with equal group and equal ``o``.  Depth is the length
+    of the prefix that the leaf shares with its node's leaf in the least document, within the surroundings.
     """
+    low = np.zeros_like(left) if low is None else low
+    high = left if high is None else np.minimum(left, high)
     o = np.arange(int(left.max()) + 1)[None]
-    row, o = np.nonzero((o <= left[:, None]) & (window - o <= right[:, None]))
+    row, o = np.nonzero((o >= low[:, None]) & (o <= high[:, None]) & (window - o <= right[:, None]))
     if not len(row):
-        return row, o
+        return row, o, o
     flat = np.concatenate(words)
-    base = np.concatenate([[0], np.cumsum([len(w) for w in words])])[:-1]
-    start = base[row] + left[row] - o
+    base = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    start, end = base[row] + left[row] - o, base[row + 1]
     sums = window_sums(flat)
     cuts = [*range(0, window, BLOCK_WORDS), window]
     edges = [span_of(sums, start + a, start + b) for a, b in zip(cuts, cuts[1:])]  # the words along each suffix, in blocks
     order = np.lexsort([doc[row], *reversed(edges), o, group[row]])
-    same = (group[row][order[1:]] == group[row][order[:-1]]) & (o[order[1:]] == o[order[:-1]])
-    depth = np.zeros(len(order) - 1, np.int64)  # of the lowest common ancestor of neighbouring leaves
-    for e, a, b in zip(edges, cuts, cuts[1:]):
-        same = same & (e[order[1:]] == e[order[:-1]])
-        depth[same] = b
-    deep = np.concatenate([[False], depth >= window])
-    node = np.cumsum(~deep) - 1  # leaves below one deep node are neighbours
-    least = doc[row][order][np.flatnonzero(~deep)]  # leaves of a node are sorted by document
-    gone = doc[row][order] > least[node]
-    return row[order][gone], o[order][gone]
+    deep = (group[row][order[1:]] == group[row][order[:-1]]) & (o[order[1:]] == o[order[:-1]])
+    for e in edges:
+        deep &= e[order[1:]] == e[order[:-1]]
+    first = np.concatenate([[True], ~deep])  # leaves below one deep node are neighbours, sorted by document
+    node = np.cumsum(first) - 1
+    least = order[np.flatnonzero(first)][node]
+    gone = doc[row][order] > doc[row][least]
+    leaf, other = order[gone], least[gone]
+    depth = np.full(len(leaf), window)
+    going = np.arange(len(leaf))
+    while len(going):
+        x, y = start[leaf[going]] + depth[going], start[other[going]] + depth[going]
+        ok = (x < end[leaf[going]]) & (y < end[other[going]])
+        ok[ok] = flat[x[ok]] == flat[y[ok]]
+        going = going[ok]
+        depth[going] += 1
+    return row[leaf], o[leaf], depth
 
 
 def _subtrees(surroundings: DataFrame, window: int) -> DataFrame:
-    """Ranges ``doc_id, h, s, e`` removed by the subtrees; rows of one anchor arrive together."""
+    """Ranges ``doc_id, h, s, e`` removed by the subtrees; rows of one group arrive together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
 
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            a, pos, left, right, doc, h = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "pos", "left", "right", "doc_id", "h"))
+            a, pos, left, right, low, high, doc, h = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "pos", "left", "right", "low", "high", "doc_id", "h"))
             words = [np.frombuffer(w.as_buffer(), np.uint64) for w in table.column("words")]
-            row, o = subtree_repeats(a, doc, left, right, words, window)
+            row, o, depth = subtree_repeats(a, doc, left, right, words, window, low, high)
             if not len(row):
                 return
             order = np.lexsort([-o, row])
-            row, s = row[order], pos[row[order]] - o[order]
+            row, s, depth = row[order], pos[row[order]] - o[order], depth[order]
             first = np.concatenate([[True], (row[1:] != row[:-1]) | (s[1:] != s[:-1] + 1)])
             k = np.flatnonzero(first)
-            last = np.append(k[1:], len(row)) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[row[k]]), pa.array(h[row[k]]), pa.array(s[k], pa.int32()), pa.array(s[last] + window, pa.int32())], names=["doc_id", "h", "s", "e"]
-            )
+            end = np.maximum.reduceat(s + depth, k)  # suffixes one word apart are one repeat
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row[k]]), pa.array(h[row[k]]), pa.array(s[k], pa.int32()), pa.array(end, pa.int32())], names=["doc_id", "h", "s", "e"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -190,6 +222,24 @@ def _subtrees(surroundings: DataFrame, window: int) -> DataFrame:
     return surroundings.repartition(n, "a").sortWithinPartitions("a").mapInArrow(run, "doc_id long, h long, s int, e int")
 
 
+def _lengthen(keyed: DataFrame, window: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups that longer prefixes make fit, with the prefix's key as ``a``; and rows of those that stay too large."""
+    columns = ["doc_id", "h", "pos", "left", "right"]
+    steps = {name: (first, last) for name, _, _, first, last in _steps(window, gram)}
+
+    def split(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+        parts = F.explode(F.array(*(F.struct(F.lit(n).alias("step"), F.col(n).alias("a"), F.lit(steps[n][0]).alias("low"), F.lit(steps[n][1]).alias("high")) for n in names)))
+        rows = cut(rows.withColumn("x", parts).select(*columns, "k00", "k01", "x.*").where("a != 0"))
+        sizes = cut(rows.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a", "size"))
+        rows = rows.join(small(sizes), "a")
+        return rows.where(F.col("size") <= group), rows.where(F.col("size") > group)
+
+    out = ["doc_id", "h", "a", "pos", "left", "right", "low", "high"]
+    fits, large = split(keyed.drop("a"), ["k0", "k1"])
+    more, still = split(large.where("step = 'k0'").select(*columns, "k00", "k01"), ["k00", "k01"])
+    return fits.select(*out).unionByName(more.select(*out)), cut(large.where("step != 'k0'").select(*out).unionByName(still.select(*out)))
+
+
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``doc_id, h, s, e``: word ranges of the repeats of each document with words hash ``h``; ranges may overlap.
 
@@ -214,14 +264,18 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group:
     rows = cut(rows.join(small(least), ["a", "c"]))
     same = rows.where("doc_id > least").select("doc_id", "h", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("right")).alias("e"))
     ranges.append(same.where(F.col("e") - F.col("s") >= window))
-    apart = rows.where("doc_id = least and classes > 1").select("doc_id", "h", "a", "pos", "left", "right", "classes")
-    ranges.append(_subtrees(_surroundings(docs, apart.where(F.col("classes") <= group), window, False), window))
-    hot = apart.where(F.col("classes") > group)
+    apart = rows.where("doc_id = least and classes > 1").select("doc_id", "h", "a", "pos", "left", "right", "classes", F.lit(0).alias("low"), F.col("left").alias("high"))
+    fitting = apart.where(F.col("classes") <= group).drop("classes")
+    hot = cut(apart.where(F.col("classes") > group).drop("classes"))
     if not hot.isEmpty():
-        suffixes = cut(_surroundings(docs, hot, window, True))
-        nodes = suffixes.groupBy("a", "fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least")
-        found = suffixes.join(nodes, ["a", "fp"]).where("doc_id > least")
-        ranges.append(found.select("doc_id", "h", "s", (F.col("s") + window).alias("e")))
+        more, large = _lengthen(cut(_surroundings(docs, hot, window, "keys", gram)), window, gram, group)
+        fitting = fitting.unionByName(more)
+        if not large.isEmpty():
+            suffixes = cut(_surroundings(docs, large, window, "windows"))
+            nodes = suffixes.groupBy("a", "fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least")
+            found = suffixes.join(nodes, ["a", "fp"]).where("doc_id > least")
+            ranges.append(found.select("doc_id", "h", "s", (F.col("s") + window).alias("e")))
+    ranges.append(_subtrees(_surroundings(docs, fitting, window, "words"), window))
     out = ranges[0]
     for r in ranges[1:]:
         out = out.unionByName(r)

@@ -19,7 +19,7 @@ def docs(spark):
     return spark.createDataFrame(corpus(), DOCS).repartition(5).cache()
 
 
-@pytest.mark.parametrize("window, gram, group", [(50, 8, 4096), (50, 8, 1), (12, 4, 2)])
+@pytest.mark.parametrize("window, gram, group", [(50, 8, 4096), (50, 8, 1), (50, 8, 3), (12, 4, 2)])
 def test_remove_repeats(spark, docs, window, gram, group):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in suffix.remove_repeats(docs, window, gram, group).collect()}
     want = remove_repeats(corpus(), window)
@@ -40,8 +40,27 @@ def test_remove_repeats_edges(spark):
 def test_subtree_nodes():
     words = [np.arange(100, 160, dtype=np.uint64), np.arange(100, 160, dtype=np.uint64)]
     words[1] = np.concatenate([words[1][:55], np.array([7, 8, 9, 10, 11], np.uint64)])
-    row, o = suffix.subtree_repeats(np.zeros(2, np.int64), np.array([1, 2]), np.array([10, 10]), np.array([50, 50]), words)
-    assert sorted(zip(row.tolist(), o.tolist())) == [(1, k) for k in range(5, 11)]  # windows that end before the change
+    row, o, depth = suffix.subtree_repeats(np.zeros(2, np.int64), np.array([1, 2]), np.array([10, 10]), np.array([50, 50]), words)
+    assert sorted(zip(row.tolist(), o.tolist(), depth.tolist())) == [(1, k, 45 + k) for k in range(5, 11)]  # down to the change, from windows that end before it
+    row, o, _ = suffix.subtree_repeats(np.zeros(2, np.int64), np.array([1, 2]), np.array([10, 10]), np.array([50, 50]), words, 50, np.array([7, 7]), np.array([8, 8]))
+    assert sorted(o.tolist()) == [7, 8]
+
+
+def test_longer_prefixes_cover_each_window_once():
+    for window, gram in ((50, 8), (12, 4), (10, 8), (8, 8)):
+        steps = {name: list(range(first, last + 1)) for name, _, _, first, last in suffix._steps(window, gram)}
+        assert sorted(steps["k0"] + steps["k1"]) == list(range(window - gram + 1))
+        assert sorted(steps["k00"] + steps["k01"]) == steps["k0"]
+        for _, before, after, first, last in suffix._steps(window, gram):
+            assert all(before <= o and after <= window - o for o in range(first, last + 1))
+
+
+def test_a_very_long_text_repeats_a_passage(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(5000)}" for _ in range(80_000)]
+    rows = [(1, " ".join(words[70_000:70_200])), (2, " ".join(words)), (3, " ".join(words[100:160]))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in suffix.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == remove_repeats(rows, 50) and got[2][1] == 200 and got[3][1] == 60
 
 
 def test_jaccard(spark, docs):
