@@ -54,16 +54,16 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GR
                 inside = np.arange(len(first)) - np.repeat(np.cumsum(np.where(counts > 0, counts - size + 1, 0)) - np.where(counts > 0, counts - size + 1, 0), np.where(counts > 0, counts - size + 1, 0))
                 start = first + inside
                 length = size[owner]
-                out = [(pa.array(ids[owner], pa.int64()), length, span_of(sums, start, start + length), np.zeros(len(start), bool))]
+                out = [(pa.array(ids[owner], pa.string()), length, span_of(sums, start, start + length), np.zeros(len(start), bool))]
                 for n in np.unique(size[size > 0]):
                     places, values = fingerprints(b, int(n), window, gram, sums)
                     mine = size[doc[places]] == n
-                    out.append((pa.array(ids[doc[places[mine]]], pa.int64()), np.full(mine.sum(), n), values[mine], np.ones(mine.sum(), bool)))
+                    out.append((pa.array(ids[doc[places[mine]]], pa.string()), np.full(mine.sum(), n), values[mine], np.ones(mine.sum(), bool)))
                 for item, length, value, is_fp in out:
                     yield pa.RecordBatch.from_arrays([item, pa.array(length, pa.int32()), pa.array(signed(value)), pa.array(is_fp)], names=["item_id", "length", "hash", "is_fp"])
 
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null")
-    rows = cut(rows.mapInArrow(run, "item_id long, length int, hash long, is_fp boolean").distinct())
+    rows = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null")
+    rows = cut(rows.mapInArrow(run, "item_id string, length int, hash long, is_fp boolean").distinct())
     wins = rows.where("not is_fp").select("item_id", "length", "hash")
     fps = rows.where("is_fp").select("length", F.col("hash").alias("fp")).distinct()
     return wins, fps
@@ -120,7 +120,7 @@ def document_hits(docs: DataFrame, lengths: list[int], known: dict[int, np.ndarr
                 whole = b.span_hash(b.offsets[:-1], b.offsets[1:])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), pa.array(b.counts), pa.array(signed(whole)), hits], names=["doc_id", "n_words", "text_hash", "hits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + HITS)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {HITS}")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, filter_fingerprints: int = FILTER_FINGERPRINTS) -> DataFrame:
@@ -147,7 +147,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     found = cut(near.join(small(distinct), ["length", "hash"], "left_semi"))
     spans = found.groupBy("n_words", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
     named = found.select("n_words", "text_hash", "length", "hash").distinct().join(small(wins), ["length", "hash"])
-    items = named.groupBy("n_words", "text_hash").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    items = named.groupBy("n_words", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     key = ["n_words", "text_hash"]
     # Equal texts share their hits: the key is the text, so null or repeated ids do no harm.
     out = base.drop("hits").join(spans, key, "left").join(items, key, "left")

@@ -3,7 +3,8 @@
 * Features: hashed n-grams (1 to 3 characters, lower-cased ASCII) of the whole text, term frequency
   relative to the text's length, times inverse document frequency counted over all training documents.
 * Training: follow-the-regularised-leader with elastic-net penalties (per-coordinate rates; L1 keeps the weights
-  sparse), on a bounded sample: about ``SAMPLE_PER_LANGUAGE`` documents per language, chosen by hash.
+  sparse), on a bounded sample: about ``SAMPLE_PER_LANGUAGE`` documents per language, chosen by hash, and no more than
+  ``SAMPLE_TOTAL`` in all and ``SAMPLE_BYTES`` of features.
 * Calibration: one temperature, fitted on sampled documents that took no part in training.
 * Prediction: every text in blocks of bytes; each n-gram's weights are gathered and summed per document,
   so a text of any length costs memory in proportion to one block.
@@ -19,14 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._spark import prepare
+from ._spark import cut, prepare
 from ._text import buffers, mix
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Bound of the fitting sample, in documents per language (an expected number; rarer languages give all they have).
 SAMPLE_PER_LANGUAGE = 600
+#: Hard bounds of the sample over all languages: documents, and bytes of their features.
+SAMPLE_TOTAL = 12_000
+SAMPLE_BYTES = 96 << 20
 #: One sampled document in so many is kept for the temperature.
 CALIBRATION_SHARE = 4
 EPOCHS = 3
@@ -119,13 +124,19 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def sample_documents(train: DataFrame, per_language: int) -> DataFrame:
-    """About ``per_language`` rows of each language, by a hash of doc_id and text."""
+    """About ``per_language`` rows of each language (fewer if there are many languages), by a hash ``h`` of doc_id and text.
+
+    Rows with equal doc_id, text and lang count once, so repeated rows or ids can neither fill nor empty the sample.
+    """
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_language / n))))) if counts else None
-    if share is None:
-        return train.limit(0)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)) / 1_000_003
-    return train.where(chance < F.element_at(share, F.col("lang")))
+    if not counts:
+        return train.limit(0).withColumn("h", F.lit(0).cast("long"))
+    per_language = max(1, min(per_language, SAMPLE_TOTAL // len(counts)))
+    share = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_language / n)))))
+    hashed = train.withColumn("h", F.xxhash64("doc_id", "text", F.lit(7)))
+    chance = F.col("h").cast("double") / 2.0**64 + 0.5
+    chosen = hashed.where(chance < F.element_at(share, F.col("lang")))
+    return chosen.dropDuplicates(["lang", "h"])
 
 
 def sparse_counts(docs: DataFrame) -> list:
@@ -142,12 +153,18 @@ def sparse_counts(docs: DataFrame) -> list:
                 val = [(count[a:b] / max(s, 1)).astype(np.float32).tobytes() for a, b, s in zip(bounds, bounds[1:], sizes)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(first, last - first) for k in (1, 2, 3)), pa.array(idx, pa.binary()), pa.array(val, pa.binary())],
-                    names=["doc_id", "lang", "fold", "idx", "val"],
+                    names=["h", "lang", "fold", "idx", "val"],
                 )
 
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(CALIBRATION_SHARE)).cast("int").alias("fold")
-    rows = docs.select("text", F.col("doc_id").cast("long"), "lang", fold).mapInArrow(run, "doc_id long, lang string, fold int, idx binary, val binary").collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["lang"], bytes(r["idx"])))
+    fold = F.pmod(F.xxhash64("h", F.lit(11)), F.lit(CALIBRATION_SHARE)).cast("int").alias("fold")
+    rows = docs.select("text", "h", "lang", fold).mapInArrow(run, "h long, lang string, fold int, idx binary, val binary")
+    # The hard bounds, by hash within each language; the sample is small by now, so a language is a group that fits.
+    within = Window.partitionBy("lang").orderBy("h")
+    size = F.sum(F.length("idx") + F.length("val")).over(within)
+    rows = rows.withColumn("k", F.row_number().over(within)).withColumn("size", size)
+    kinds = max(1, docs.select("lang").distinct().count())
+    rows = rows.where((F.col("k") <= max(1, SAMPLE_TOTAL // kinds)) & ((F.col("size") <= SAMPLE_BYTES // kinds) | (F.col("k") == 1))).drop("k", "size").collect()
+    return sorted(rows, key=lambda r: (r["h"], r["lang"], bytes(r["idx"])))
 
 
 def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], k: int, epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +220,7 @@ def train_language_model(train: DataFrame, per_language: int = SAMPLE_PER_LANGUA
     if not n:
         return None
     idf = np.log((1 + n) / (1 + df)) + 1
-    rows = sparse_counts(sample_documents(train, per_language))
+    rows = sparse_counts(cut(sample_documents(train, per_language)))
     labels = sorted({r["lang"] for r in rows})
     fit, keep = [], []
     for r in rows:
@@ -229,11 +246,11 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame
     w = (model.weights if model else np.zeros((BUCKETS, 1))).astype(np.float32)
     bias, temperature = (model.bias, model.temperature) if model else (np.zeros(1), 1.0)
     used = np.flatnonzero(np.abs(w).sum(1) > 0)  # the elastic net leaves many rows empty
-    packed = (used.astype(np.uint32), w[used])
+    packed = docs.sparkSession.sparkContext.broadcast((used.astype(np.uint32), w[used]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((BUCKETS, len(labels)), np.float32)
-        table[packed[0]] = packed[1]
+        table[packed.value[0]] = packed.value[1]
         for batch in batches:
             texts = batch.column(1)
             for first, last, offsets, raw in text_blocks(texts):

@@ -5,7 +5,7 @@ content and boilerplate is decoded by Viterbi, and the share of words on content
 whether a document stays.  Plain base rules (too few words, too many repeated ones) come first.
 
 The field's weights are fitted here, on the lines of a bounded sample of labelled documents
-(``SAMPLE_PER_CLASS`` of each quality label); scoring covers every line of every document.
+(``SAMPLE_PER_CLASS`` of each quality label, ``SAMPLE_LINES`` lines of each); scoring covers every line of every document.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import prepare
+from ._spark import cut, prepare
 from ._text import NON_SPACE, Block, blocks, cover, mix, per_doc
 
 SAMPLE_PER_CLASS = 1000
+#: Lines of a sampled document that take part in fitting.
+SAMPLE_LINES = 1000
 MIN_CONTENT_SHARE = 0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -165,39 +167,42 @@ def fit_field(sequences: list[np.ndarray], labels: list[int], steps: int = 200,
     runs = [(s[i : i + longest], y) for s, y in zip(sequences, labels) for i in range(0, len(s), longest)]
     if len({y for _, y in runs}) < 2:
         return Field.neutral()
-    n, t_max, k = len(runs), max(len(s) for s, _ in runs), len(FEATURES)
-    x = np.zeros((n, t_max, k))
-    mask = np.zeros((n, t_max))
-    y = np.array([y for _, y in runs])
-    for i, (s, _) in enumerate(runs):
-        x[i, : len(s)] = s
-        mask[i, : len(s)] = 1
-    weight = np.where(y == 1, 0.5 / max((mask[y == 1]).sum(), 1), 0.5 / max((mask[y == 0]).sum(), 1))
+    runs.sort(key=lambda r: -len(r[0]))
+    n, k = len(runs), len(FEATURES)
+    # Lines lie by their place in the run, longest run first: those at place t are a slice, those before them its head.
+    live = [int(sum(len(s) > t for s, _ in runs)) for t in range(len(runs[0][0]))]
+    at = np.concatenate([[0], np.cumsum(live)])
+    x = np.concatenate([np.stack([runs[i][0][t] for i in range(m)]) for t, m in enumerate(live)])
+    run = np.concatenate([np.arange(m) for m in live])
+    y = np.array([y for _, y in runs])[run]
+    last = at[[len(s) - 1 for s, _ in runs]] + np.arange(n)
+    later = np.arange(n, at[-1])  # lines with one before them
+    before = np.concatenate([at[t] + np.arange(m) for t, m in enumerate(live[1:])] or [np.zeros(0, np.int64)])
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     theta = np.zeros(2 * k + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     want = np.eye(2)[y]
     for step in range(1, steps + 1):
         w, trans, start = theta[: 2 * k].reshape(k, 2), theta[2 * k : 2 * k + 4].reshape(2, 2), theta[2 * k + 4 :]
         e = x @ w
-        alpha, beta = np.zeros((n, t_max, 2)), np.zeros((n, t_max, 2))
-        alpha[:, 0] = e[:, 0] + start
-        for t in range(1, t_max):
-            a = np.logaddexp(alpha[:, t - 1, 0, None] + trans[0], alpha[:, t - 1, 1, None] + trans[1]) + e[:, t]
-            alpha[:, t] = np.where(mask[:, t, None] > 0, a, alpha[:, t - 1])
-        for t in range(t_max - 2, -1, -1):
-            nxt = e[:, t + 1] + beta[:, t + 1]
-            b = np.logaddexp(trans[:, 0] + nxt[:, 0, None], trans[:, 1] + nxt[:, 1, None])
-            beta[:, t] = np.where(mask[:, t + 1, None] > 0, b, 0)
-        logz = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p = np.exp(np.minimum(alpha + beta - logz[:, None, None], 0)) * mask[:, :, None]
-        diff = (want[:, None, :] * mask[:, :, None] - p) * weight[:, None, None]
-        gw = np.einsum("ntk,ntc->kc", x, diff)
-        gt = np.zeros((2, 2))
-        for a in range(2):
-            for b in range(2):
-                joint = np.exp(np.minimum(alpha[:, :-1, a] + trans[a, b] + e[:, 1:, b] + beta[:, 1:, b] - logz[:, None], 0)) * mask[:, 1:]
-                gt[a, b] = (((want[:, a] * want[:, b])[:, None] * mask[:, 1:] - joint) * weight[:, None]).sum()
-        gs = diff[:, 0].sum(0)
+        alpha, beta = e.copy(), np.zeros_like(e)
+        alpha[:n] += start
+        for t in range(1, len(live)):
+            prev, now = slice(at[t - 1], at[t - 1] + live[t]), slice(at[t], at[t + 1])
+            alpha[now] += np.logaddexp(alpha[prev, 0, None] + trans[0], alpha[prev, 1, None] + trans[1])
+        for t in range(len(live) - 1, 0, -1):
+            prev, now = slice(at[t - 1], at[t - 1] + live[t]), slice(at[t], at[t + 1])
+            nxt = e[now] + beta[now]
+            beta[prev] = np.logaddexp(trans[:, 0] + nxt[:, 0, None], trans[:, 1] + nxt[:, 1, None])
+        logz = np.logaddexp(alpha[last, 0], alpha[last, 1])[run]
+        p = np.exp(np.minimum(alpha + beta - logz[:, None], 0))
+        diff = (want - p) * weight[:, None]
+        gw = x.T @ diff
+        onward = e[later] + beta[later] - logz[later, None]
+        joint = np.exp(np.minimum(alpha[before][:, :, None] + trans + onward[:, None], 0))
+        pair = want[before][:, :, None] * want[later][:, None]
+        gt = ((pair - joint) * weight[later, None, None]).sum(0)
+        gs = diff[:n].sum(0)
         g = np.concatenate([gw.ravel(), gt.ravel(), gs]) - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -205,11 +210,13 @@ def fit_field(sequences: list[np.ndarray], labels: list[int], steps: int = 200,
 
 
 def train_field(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Field:
-    """Fit on the lines of at most ``per_class`` documents of each quality label, chosen by hash.
+    """Fit on lines of at most ``per_class`` documents of each quality label, chosen by hash.
 
-    Rows with null doc_id or quality are no labels; without both labels the neutral field results.
+    Rows with null doc_id or quality are no labels; without both labels the neutral field results.  The bounds hold
+    for documents that share an id too: of these, again, at most ``per_class`` go in, and equal ones once.
     """
-    known = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -219,13 +226,14 @@ def train_field(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_
         for batch in batches:
             for b in blocks(batch.column(0), NON_SPACE, False):
                 ls = lines_of(b)
-                rows = [ls.features[ls.first[i] : ls.first[i + 1]].astype(np.float32).tobytes() for i in range(b.n)]
-                ys = batch.column(1).slice(b.first, b.n)
-                yield pa.RecordBatch.from_arrays([ys, batch.column(2).slice(b.first, b.n), pa.array(rows, pa.binary())], names=["quality", "doc_id", "features"])
-
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("text", "quality", F.col("doc_id").cast("long"))
-    rows = joined.mapInArrow(run, "quality int, doc_id long, features binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["features"])))
+                ends = np.minimum(ls.first[1:], ls.first[:-1] + SAMPLE_LINES)
+                rows = [ls.features[x:y].astype(np.float32).tobytes() for x, y in zip(ls.first, ends)]
+                columns = [batch.column(k).slice(b.first, b.n) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.binary())], names=["quality", "h", "features"])
+
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("text", "quality", F.xxhash64("doc_id", "text").alias("h"))
+    found = cut(joined.dropDuplicates(["quality", "h"]).mapInArrow(run, "quality int, h long, features binary"))
+    rows = [r for y in (0, 1) for r in found.where(F.col("quality") == y).orderBy("h").limit(per_class).collect()]
     seqs = [np.frombuffer(bytes(r["features"]), np.float32).reshape(-1, len(FEATURES)).astype(float) for r in rows]
     keep = [i for i, s in enumerate(seqs) if len(s)]
     return fit_field([seqs[i] for i in keep], [rows[i]["quality"] for i in keep])

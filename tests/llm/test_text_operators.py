@@ -1,5 +1,6 @@
 """Chat formatting, language ID, packing, URL filters, quality rules and HTML extraction."""
 
+import math
 import random
 import re
 import zlib
@@ -90,6 +91,92 @@ def test_grams_against_loop():
     assert sorted(bucket[doc == 2]) == sorted(same)
 
 
+def simple_grams(text):
+    """Plain Python buckets of a text's n-grams."""
+    mask = (1 << 64) - 1
+    low = [int.from_bytes(c.encode(), "big") for c in "".join(c.lower() if c.isascii() else c for c in text)]
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    out = []
+    for order in langid.ORDERS:
+        for i in range(len(low) - order + 1):
+            code = 0
+            for k in range(order):
+                code = (code * 0x100000001B3 + low[i + k] + k + 1) & mask
+            out.append(mix(code) % langid.BUCKETS)
+    return out
+
+
+def simple_ftrl(rows, k, seed):
+    """One epoch of follow-the-regularised-leader, one weight at a time."""
+    a, b, l1, l2 = langid.ALPHA, langid.BETA, langid.L1, langid.L2
+    z, n = {}, {}
+    weight = lambda key: 0.0 if abs(z.get(key, 0.0)) <= l1 else -(z[key] - math.copysign(l1, z[key])) / ((b + math.sqrt(n[key])) / a + l2)
+    for i in np.random.default_rng(seed).permutation(len(rows)):
+        y, idx, val = rows[i]
+        scores = [sum(x * weight((j, c)) for j, x in zip(idx, val)) + weight((None, c)) for c in range(k)]
+        e = [math.exp(s - max(scores)) for s in scores]
+        for c in range(k):
+            p = e[c] / sum(e) - (c == y)
+            for j, x in [*zip(idx, val), (None, 1.0)]:
+                g, w, old = p * x, weight((j, c)), n.get((j, c), 0.0)
+                z[j, c] = z.get((j, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / a * w
+                n[j, c] = old + g * g
+    return weight
+
+
+def test_language_model_against_plain_python(spark):
+    """N-grams, document frequencies, FTRL and scores equal a plain version, weight by weight."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aB é漢z9 ") for _ in range(rng.randrange(0, 30))) for _ in range(40)] + ["", "Q"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    bucket, doc = langid.grams(raw, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    for i, t in enumerate(texts):
+        assert sorted(bucket[doc == i].tolist()) == sorted(simple_grams(t))
+    n, df = langid.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    want = np.zeros(langid.BUCKETS)
+    for t in texts:
+        want[sorted(set(simple_grams(t)))] += 1
+    assert n == len(texts) and (df == want).all()
+    rows = []
+    for i, t in enumerate(texts):
+        idx, count = np.unique(simple_grams(t), return_counts=True)
+        rows.append((i % 3, idx.astype(np.int64), count / max(count.sum(), 1) * 2))
+    w, b = langid.fit_ftrl(rows, 3, epochs=1, seed=5)
+    weight = simple_ftrl(rows, 3, 5)
+    for j in set().union(*(r[1].tolist() for r in rows)):
+        assert w[j] == pytest.approx([weight((j, c)) for c in range(3)], abs=1e-9)
+    assert b == pytest.approx([weight((None, c)) for c in range(3)], abs=1e-9)
+    model = langid.LanguageModel(["x", "y", "z"], w, b, 1.7)
+    got = {r["doc_id"]: r for r in langid.predict_languages(spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3), model).collect()}
+    for i, t in enumerate(texts):
+        if any(c.isalpha() for c in t):
+            own = simple_grams(t)
+            s = [(sum(w[j][c] for j in own) / len(own) + b[c]) / 1.7 for c in range(3)]
+            p = [math.exp(x - max(s)) for x in s]
+            assert got[i]["lang_pred"] == "xyz"[p.index(max(p))] and got[i]["score"] == pytest.approx(max(p) / sum(p), abs=1e-5)
+
+
+def test_language_sample_is_bounded(spark):
+    """Repeated rows and ids neither fill nor empty the sample; equal rows count once; an empty table predicts nothing."""
+    rows = [(1, f"text number {i}", "aa") for i in range(3000)] + [(2, "same text", "bb")] * 3000 + [(None, f"b {i}", "bb") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    chosen = langid.sample_documents(df, 100).groupBy("lang").count().collect()
+    got = {r["lang"]: r["count"] for r in chosen}
+    assert 60 < got["aa"] < 150 and got.get("bb", 0) <= 6
+    model = langid.train_language_model(df, 100)
+    assert model.labels[0] == "aa"
+    assert langid.predict_languages(df.limit(0), model).collect() == []
+    twice = langid.predict_languages(spark.createDataFrame([(1, "text number 7")] * 3, DOCS), model).collect()
+    assert len(twice) == 3 and len(set(twice)) == 1
+
+
 def test_temperature():
     rng = np.random.default_rng(0)
     s = rng.normal(size=(4000, 3))
@@ -324,6 +411,44 @@ def test_quality(spark, field):
     assert rules.score_quality(df.limit(0), field).collect() == []
 
 
+def test_quality_sample_is_bounded(spark):
+    """Many documents under one labelled id, some repeated, and a very long one."""
+    rows = [(1, GOOD + f"\nline {i} is here, and it ends well.") for i in range(300)] + [(1, GOOD)] * 50 + [(2, BAD)] * 40 + [(2, "\n".join([BAD] * 3000))]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = []
+    real = rules.fit_field
+    rules.fit_field = lambda seqs, ys: got.append((seqs, ys)) or real(seqs, ys)
+    try:
+        f = rules.train_field(spark.createDataFrame(rows, DOCS).repartition(3), labels, 20)
+    finally:
+        rules.fit_field = real
+    seqs, ys = got[0]
+    assert ys.count(1) == 20 and ys.count(0) == 2 and max(map(len, seqs)) == rules.SAMPLE_LINES
+    out = rules.score_quality(spark.createDataFrame([(1, GOOD)] * 3 + [(3, "\n".join([GOOD] * 2)), (4, "\n".join(f"{i} {GOOD}" for i in range(3000)))], DOCS), f).collect()
+    assert [r["n_words"] for r in out if r["row"]["doc_id"] == 1] == [22] * 3
+
+
+def test_field_against_enumeration():
+    """One step's gradient direction: the fit raises the likelihood that enumerating all labellings gives."""
+    from itertools import product
+
+    rng = np.random.default_rng(7)
+    seqs = [rng.normal(size=(n, len(rules.FEATURES))) + (i % 2) for i, n in enumerate((1, 3, 2, 4, 1, 3))]
+    ys = [i % 2 for i in range(6)]
+    f = rules.fit_field(seqs, ys, steps=60)
+
+    def log_likelihood(field):
+        total = 0.0
+        for s, y in zip(seqs, ys):
+            e = s @ field.emission
+            value = lambda l: field.start[l[0]] + sum(e[i, c] for i, c in enumerate(l)) + sum(field.transition[a, b] for a, b in zip(l, l[1:]))
+            total += value((y,) * len(s)) - np.logaddexp.reduce([value(l) for l in product((0, 1), repeat=len(s))])
+        return total
+
+    assert log_likelihood(f) > log_likelihood(rules.fit_field(seqs, ys, steps=5)) > log_likelihood(rules.fit_field(seqs, ys, steps=1))
+    assert log_likelihood(f) > -1
+
+
 def test_viterbi_against_enumeration(field):
     from itertools import product
 
