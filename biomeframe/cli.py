@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biomeframe.functions.misc import today
 from biomeframe.functions.modules import parse_modules
-from biomeframe.operators import consensus
+from biomeframe.operators import consensus, counting, merge, taxa
 from biomeframe.plans import config, workflows
 from biomeframe.sources import readers, writers
 
@@ -57,6 +59,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-c", "--counting", choices=config.COUNTING, default="smart_shared")
     c.add_argument("--id", type=share, dest="identity")
     c.add_argument("--type", default="complete", dest="database_type")
+    c.add_argument("-k", "--alignments", type=int, default=100, help="alignments per read that take part; 0 for all")
+    c.add_argument("--log", help="folder of aligner summaries, one per sample, for the totals of reads")
+    c.add_argument("--core", help="species definition: write the alignments on its core genes too, in coordinate order")
     c = command("profile", "gene, species, function and module profiles from count tables")
     c.add_argument("-m", "--msp", required=True)
     c.add_argument("-a", "--annotation", type=pairs, action="append", default=[], metavar="NAME=PATH")
@@ -69,15 +74,19 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--msp_filter", type=share)
     c.add_argument("--completeness", type=share, default=0.9)
     c.add_argument("--trim", type=positive, default=80)
+    c.add_argument("--unmapped", help="sample, unmapped: reads that the aligner could not place")
     c.add_argument("--type", default="complete", dest="database_type")
-    c = command("merge", "one matrix from a long table")
-    c.add_argument("-k", "--keys", required=True, help="key columns, comma-separated")
+    c = command("merge", "one matrix from a long table, or all those of a profile")
+    c.add_argument("-k", "--keys", help="key columns, comma-separated; without them the input is a profile's folder")
+    c.add_argument("-g", "--genes", action="store_true", help="of a profile, merge the gene table too")
+    c.add_argument("-b", "--biom", metavar="TAXONOMY", help="also write the species' table as a BIOM document")
     c.add_argument("-a", "--min_abundance", type=float, default=0.0)
     c.add_argument("-n", "--min_occurrence", type=positive, default=1)
     c.add_argument("-s", "--remove_empty_samples", action="store_true")
     c = command("strain", "consensus sequences of covered species")
     for name in ("genes", "reference", "msp", "counts"):
         c.add_argument(f"--{name}", required=True)
+    c.add_argument("--cache", help="folder for intermediate tables of a job that may be restarted")
     c.add_argument("--variants", help="a VCF folder with one file per sample; else a pileup is called")
     c.add_argument("-d", "--max_depth", type=positive, default=100)
     c.add_argument("-s", "--min_depth", type=positive, default=3)
@@ -103,6 +112,17 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.parquet(path) if not path.endswith((".tsv", ".xz", ".gz", ".bz2", ".feather", ".txt")) else readers.read_tsv(spark, path, schema)
 
 
+def _msp(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path) if not path.endswith((".tsv", ".xz", ".gz")) else readers.read_msp(spark, path)
+
+
+def _maybe(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     out = args.output
     if args.command == "fastq":
@@ -113,7 +133,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         named.where("sample is not null").write.mode("overwrite").parquet(out)
     elif args.command == "mapping":
         genes = _table(spark, args.genes, readers.GENES)
-        counts, stats = workflows.count_samples(_alignments(spark, args.input, args.sample), genes, config.MappingConfig(counting=args.counting, identity=args.identity), args.database_type)
+        aln = _alignments(spark, args.input, args.sample)
+        conf = config.MappingConfig(counting=args.counting, identity=args.identity, alignments=args.alignments)
+        totals = readers.aligner_totals(spark, args.log) if args.log else None
+        counts, stats = workflows.count_samples(aln, genes, conf, args.database_type, totals)
+        if args.core:
+            core = taxa.core_genes(_msp(spark, args.core), conf.core_size)
+            writers.write_alignments(counting.core_alignments(aln, core), f"{out}/core_alignments")
         writers.write_by_sample(counts, f"{out}/counts", ["gene_id"])
         stats.write.mode("overwrite").parquet(f"{out}/stats")
     elif args.command == "profile":
@@ -124,16 +150,26 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             definitions = {r["id"]: r["definition"] for r in _table(spark, args.modules, readers.MODULES).collect()}
             rows = [(m, i, sorted(a)) for m, alts in parse_modules(definitions).items() for i, a in enumerate(alts)]
             alternatives = spark.createDataFrame(rows, "mod_id string, alt_id int, terms array<string>")
-        msp = spark.read.parquet(args.msp) if not args.msp.endswith((".tsv", ".xz", ".gz")) else readers.read_msp(spark, args.msp)
-        got = workflows.profile_samples(spark.read.parquet(args.input), msp, conf, annotations, alternatives, database_type=args.database_type)
+        unmapped = _table(spark, args.unmapped, "sample string, unmapped long") if args.unmapped else None
+        got = workflows.profile_samples(spark.read.parquet(args.input), _msp(spark, args.msp), conf, annotations, alternatives, unmapped, args.database_type)
         tables = {"genes": got.genes, "msp": got.species, "msp_stats": got.species_stats, "modules_completeness": got.completeness, "modules": got.modules}
         tables |= {name: df for name, df in got.functions.items()} | {f"{name}_as_msp_sum": df for name, df in got.functions_by_species.items()}
         for name, df in tables.items():
             if df is not None:
                 writers.write_by_sample(df, f"{out}/{name}")
     elif args.command == "merge":
-        conf = config.MergeConfig(args.min_abundance, args.min_occurrence, args.remove_empty_samples)
-        writers.write_matrix(workflows.merge_tables(spark.read.parquet(args.input), args.keys.split(","), conf), out)
+        conf = config.MergeConfig(args.min_abundance, args.min_occurrence, args.remove_empty_samples, genes=args.genes, biom=bool(args.biom))
+        if args.keys:
+            species = spark.read.parquet(args.input)
+            writers.write_matrix(workflows.merge_tables(species, args.keys.split(","), conf), out if not args.biom else f"{out}/matrix")
+        else:
+            tables = {name: table for name in workflows.FAMILIES if (table := _maybe(spark, f"{args.input}/{name}")) is not None}
+            for name, df in workflows.merge_profile(tables, conf).items():
+                writers.write_matrix(df, f"{out}/{name}")
+            species = tables.get("msp")
+        if args.biom and species is not None:
+            date = spark.range(1).select(today()).first()[0]
+            writers.write_biom(merge.biom_lines(species, _table(spark, args.biom, readers.TAXONOMY), date=date), f"{out}/biom")
     elif args.command == "strain":
         conf = config.StrainConfig(args.max_depth, args.min_depth, min_frequency=args.min_frequency, min_msp_coverage=args.min_msp_coverage, min_gene_coverage=args.min_gene_coverage, core_size=args.core_size)
         aln = _alignments(spark, args.input, None)
@@ -141,10 +177,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         if args.variants:
             variants = readers.read_vcf(spark, args.variants).withColumn("sample", F.regexp_extract(F.input_file_name(), r"([^/]+)\.vcf[^/]*$", 1))
         else:
-            refs = aln.select("sample").distinct().join(F.broadcast(reference))
+            refs = aln.select("sample", "gene_id").distinct().join(reference, "gene_id")
             variants = consensus.pileup_variants(consensus.aligned_bases(aln), refs, conf.min_snp_depth, conf.min_frequency).withColumn("ord", F.lit(0))
-        msp = spark.read.parquet(args.msp) if not args.msp.endswith((".tsv", ".xz", ".gz")) else readers.read_msp(spark, args.msp)
-        workflows.strain_sequences(aln, _table(spark, args.genes, readers.GENES), reference, msp, spark.read.parquet(args.counts), variants, conf).write.mode("overwrite").parquet(out)
+        workflows.strain_sequences(aln, _table(spark, args.genes, readers.GENES), reference, _msp(spark, args.msp), spark.read.parquet(args.counts), variants, conf, args.cache).write.mode("overwrite").parquet(out)
     elif args.command == "tree":
         distances, comparison, trees = workflows.strain_trees(spark.read.parquet(args.input), config.TreeConfig(args.max_gap, args.min_info_sites, "TN93" if args.tn93 else "GTR"))
         distances.write.mode("overwrite").parquet(f"{out}/distances")

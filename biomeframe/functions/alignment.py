@@ -19,6 +19,25 @@ def reference_length(cigar: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), 1), F.lit(0), lambda a, x: a + x.cast("int"))
 
 
+def match_blocks(pos: Column, cigar: Column) -> Column:
+    """``start, end, read`` of each run of M, = or X: its span on the reference and its first base in the read, all 0-based."""
+    ops = F.zip_with(
+        F.regexp_extract_all(cigar, F.lit(r"(\d+)[MIDNSHP=X]"), 1), F.regexp_extract_all(cigar, F.lit(r"\d+([MIDNSHP=X])"), 1),
+        lambda n, op: F.struct(n.cast("int").alias("n"), op.alias("op")),
+    )
+    none = F.array().cast("array<struct<start:int,end:int,read:int>>")
+    first = F.struct(pos.cast("int").alias("at"), F.lit(0).alias("read"), none.alias("blocks"))
+
+    def step(acc: Column, x: Column) -> Column:
+        block = F.struct(acc["at"].alias("start"), (acc["at"] + x["n"]).alias("end"), acc["read"].alias("read"))
+        return F.struct(
+            (acc["at"] + F.when(x["op"].isin(*"MDN=X"), x["n"]).otherwise(0)).alias("at"), (acc["read"] + F.when(x["op"].isin(*"MIS=X"), x["n"]).otherwise(0)).alias("read"),
+            F.when(x["op"].isin(*"M=X"), F.concat(acc["blocks"], F.array(block))).otherwise(acc["blocks"]).alias("blocks"),
+        )
+
+    return F.aggregate(ops, first, step, lambda acc: acc["blocks"])
+
+
 def identity(ali: Column, nm: Column) -> Column:
     """(ali - nm) / ali; null for an empty alignment."""
     return (ali - nm).cast("double") / F.nullif(ali, F.lit(0))

@@ -23,9 +23,9 @@ IUPAC = {
     "ACG": "V",
     "ACGT": "N",
 }
+# Letters with any information and with full information, and the largest distances of the categories.
 MINIMAL_INFO = "ACGTRYSWKMBDHV"
 MAXIMAL_INFO = "ACGT"
-#: Largest distances of the categories below "divergent".
 SAME_STRAIN, SAME_SUBSPECIES = 0.0001, 0.015
 
 # Parts of read-file names, in the order in which they are tried.

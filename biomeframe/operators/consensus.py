@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from biomeframe.functions.alignment import SKIPPED_IN_DEPTH
+from biomeframe.functions.alignment import SKIPPED_IN_DEPTH, match_blocks
 from biomeframe.functions.sequence import all_gap, allele_codes
 
 GENE = ["sample", "gene_id"]
@@ -97,21 +94,8 @@ def aligned_bases(aln: DataFrame) -> DataFrame:
 
     Insertions, clips and deletions give no base; reads that depth ignores are left out.
     """
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for sample, gene, pos, cigar, seq in pdf.itertuples(index=False):
-                at, read = pos, 0
-                for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar or ""):
-                    n = int(n)
-                    if op in "M=X":
-                        rows += [(sample, gene, at + i, seq[read + i].upper()) for i in range(n)]
-                    at += n if op in "M=XDN" else 0
-                    read += n if op in "M=XIS" else 0
-            yield pd.DataFrame(rows, columns=["sample", "gene_id", "pos", "base"])
-
     kept = aln.where(F.col("flag").bitwiseAND(SKIPPED_IN_DEPTH) == 0).where("seq is not null and seq != '*'")
-    return kept.select(*GENE, "pos", "cigar", "seq").mapInPandas(run, "sample string, gene_id long, pos int, base string")
+    blocks = kept.select(*GENE, "seq", F.explode(match_blocks(F.col("pos"), F.col("cigar"))).alias("b"))
+    letters = F.split(F.upper(F.substr("seq", F.col("b.read") + 1, F.col("b.end") - F.col("b.start"))), "")
+    bases = blocks.select("sample", F.col("gene_id").cast("long").alias("gene_id"), F.col("b.start").alias("start"), F.posexplode(letters).alias("i", "base"))
+    return bases.where("base != ''").select("sample", "gene_id", (F.col("start") + F.col("i")).alias("pos"), "base")

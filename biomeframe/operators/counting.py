@@ -56,23 +56,28 @@ def shared_counts(hits: DataFrame) -> DataFrame:
     return unique.unionByName(shares).groupBy("sample", "gene_id").agg(F.sum("v").alias("value"))
 
 
-def count_table(counts: DataFrame, genes: DataFrame, value: str) -> DataFrame:
-    """Dense ``sample, gene_id, gene_length, value`` over all genes of the catalogue; missing genes are 0."""
-    samples = counts.select("sample").distinct()
-    dense = samples.join(genes.select("gene_id", "gene_length"))
+def count_table(counts: DataFrame, genes: DataFrame, value: str, samples: DataFrame | None = None) -> DataFrame:
+    """Dense ``sample, gene_id, gene_length, value`` over all genes of the catalogue; missing genes are 0.
+
+    ``samples`` names those that appear, with or without counts (by default, those with counts).
+    """
+    samples = (counts if samples is None else samples).select("sample").distinct()
+    dense = genes.select("gene_id", "gene_length").join(F.broadcast(samples))  # one row per sample
     return dense.join(counts, ["sample", "gene_id"], "left").select("sample", "gene_id", "gene_length", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"))
 
 
+def sparse_counts(aln: DataFrame, threshold: float, mode: str = "smart_shared") -> DataFrame:
+    """``sample, gene_id, value`` of the genes with counts, in one of the modes total, smart_shared and unique."""
+    modes = {"total": (total_counts, "n"), "unique": (unique_counts, "n"), "smart_shared": (shared_counts, "value")}
+    if mode not in modes:
+        raise ValueError(f"unknown counting mode {mode!r}")
+    count, value = modes[mode]
+    return count(best_hits(aln, threshold)).select("sample", "gene_id", F.col(value).cast("double").alias("value"))
+
+
 def gene_counts(aln: DataFrame, genes: DataFrame, threshold: float, mode: str = "smart_shared") -> DataFrame:
-    """Count table in one of the modes total, smart_shared and unique."""
-    hits = best_hits(aln, threshold)
-    if mode == "total":
-        return count_table(total_counts(hits), genes, "n")
-    if mode == "unique":
-        return count_table(unique_counts(hits), genes, "n")
-    if mode == "smart_shared":
-        return count_table(shared_counts(hits), genes, "value")
-    raise ValueError(f"unknown counting mode {mode!r}")
+    """Dense count table; every sample with an alignment appears, though none of its reads be counted."""
+    return count_table(sparse_counts(aln, threshold, mode), genes, "value", aln)
 
 
 def counted_reads(hits: DataFrame, mode: str = "smart_shared") -> DataFrame:
@@ -81,9 +86,12 @@ def counted_reads(hits: DataFrame, mode: str = "smart_shared") -> DataFrame:
     return rows.groupBy("sample").agg(F.countDistinct("read_id").alias("counted_reads"))
 
 
-def mapping_rate(aln: DataFrame, hits: DataFrame, mode: str = "smart_shared") -> DataFrame:
-    """Counted reads as a percentage of all reads, rounded half-even to two digits."""
-    total = aln.groupBy("sample").agg(F.countDistinct("read_id").alias("total_reads"))
+def mapping_rate(aln: DataFrame, hits: DataFrame, mode: str = "smart_shared", totals: DataFrame | None = None) -> DataFrame:
+    """Counted reads as a percentage of all reads, rounded half-even to two digits.
+
+    ``totals`` (sample, total_reads) are the aligner's; alignments alone don't show reads that it could not place.
+    """
+    total = aln.groupBy("sample").agg(F.countDistinct("read_id").alias("total_reads")) if totals is None else totals.select("sample", "total_reads")
     rate = F.bround(F.coalesce("counted_reads", F.lit(0)) / F.col("total_reads") * 100, 2)
     return total.join(counted_reads(hits, mode), "sample", "left").select("sample", "total_reads", F.coalesce("counted_reads", F.lit(0)).alias("counted_reads"), rate.alias("final_mapping_rate"))
 

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from biomeframe.functions.alignment import SKIPPED_IN_DEPTH, reference_length
+from biomeframe.functions.alignment import SKIPPED_IN_DEPTH, match_blocks
 
 GENE = ["sample", "gene_id"]
 
 
 def segments_of(aln: DataFrame) -> DataFrame:
-    """``sample, gene_id, startpos, endpos`` of alignments that count for depth (pos is 0-based)."""
+    """``sample, gene_id, startpos, endpos, reads`` of the matched blocks of alignments that count for depth (pos is 0-based).
+
+    Deletions and skips of the reference lie between blocks and have no depth; ``reads`` is 1 for a read's first block.
+    """
     kept = aln.where((F.col("flag").bitwiseAND(SKIPPED_IN_DEPTH)) == 0)
-    return kept.select(*GENE, F.col("pos").alias("startpos"), (F.col("pos") + reference_length(F.col("cigar"))).alias("endpos"))
+    blocks = kept.select(*GENE, F.posexplode(match_blocks(F.col("pos"), F.col("cigar"))).alias("_i", "_b"))
+    return blocks.select(*GENE, F.col("_b.start").alias("startpos"), F.col("_b.end").alias("endpos"), (F.col("_i") == 0).cast("int").alias("reads"))
 
 
 def depth_runs(segments: DataFrame, genes: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -29,7 +33,7 @@ def depth_runs(segments: DataFrame, genes: DataFrame, max_depth: int | None = No
     ends = F.array(F.struct(F.col("s").alias("p"), F.lit(1).alias("d")), F.struct(F.col("e").alias("p"), F.lit(-1).alias("d")))
     borders = clipped.select(*GENE, F.explode(ends).alias("x")).select(*GENE, "x.p", "x.d")
     samples = segments.select("sample").distinct()
-    frame = samples.join(F.broadcast(genes.select("gene_id", "gene_length"))).where("gene_length > 0")
+    frame = genes.select("gene_id", "gene_length").where("gene_length > 0").join(F.broadcast(samples))  # one row per sample
     frame = frame.select(*GENE, F.explode(F.array(F.lit(0), F.col("gene_length"))).alias("p"), F.lit(0).alias("d"))
     events = borders.unionByName(frame).groupBy(*GENE, "p").agg(F.sum("d").alias("d"))
     order = Window.partitionBy(*GENE).orderBy("p")
@@ -50,7 +54,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 def runs_of_positions(depth: DataFrame, genes: DataFrame) -> DataFrame:
     """Runs from depth per position (``sample, gene_id, pos, depth``); missing positions are 0."""
     rows = depth.where("depth != 0").select(*GENE, F.col("pos").alias("startpos"), (F.col("pos") + 1).alias("endpos"), "depth")
-    edges = depth.select("sample").distinct().join(F.broadcast(genes.select("gene_id", "gene_length")))
+    edges = genes.select("gene_id", "gene_length").join(F.broadcast(depth.select("sample").distinct()))  # one row per sample
     points = rows.select(*GENE, "startpos", "depth").unionByName(rows.select(*GENE, F.col("endpos").alias("startpos"), F.lit(0).alias("depth")))
     points = points.unionByName(edges.select(*GENE, F.lit(0).alias("startpos"), F.lit(0).alias("depth")))
     points = points.groupBy(*GENE, "startpos").agg(F.max("depth").alias("depth")).join(genes.select("gene_id", "gene_length"), "gene_id")
@@ -71,7 +75,8 @@ def gene_coverage(runs: DataFrame, segments: DataFrame, genes: DataFrame) -> Dat
     """``numreads, covbases, coverage, meandepth`` per gene with reads."""
     width = F.col("endpos") - F.col("startpos")
     bases = runs.groupBy(*GENE).agg(F.sum(F.when(F.col("depth") > 0, width).otherwise(0)).alias("covbases"), F.sum(width * F.col("depth")).alias("_sum"))
-    reads = segments.groupBy(*GENE).agg(F.count(F.lit(1)).alias("numreads"))
+    one = F.sum("reads") if "reads" in segments.columns else F.count(F.lit(1))
+    reads = segments.groupBy(*GENE).agg(one.cast("long").alias("numreads"))
     out = reads.join(bases, GENE).join(genes.select("gene_id", "gene_length"), "gene_id")
     return out.select(*GENE, "gene_length", "numreads", "covbases", (F.col("covbases") * 100.0 / F.col("gene_length")).alias("coverage"), (F.col("_sum") / F.col("gene_length")).alias("meandepth"))
 

@@ -73,3 +73,42 @@ def biom_rows(long: DataFrame, taxonomy: DataFrame) -> DataFrame:
     values = long.where("value != 0").groupBy("msp_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sample", "value")))).alias("data"))
     named = values.join(prefixed_taxonomy(taxonomy), "msp_name", "left")
     return named.select("msp_name", F.to_json(F.struct(F.col("msp_name").alias("id"), F.split("lineage", ";").alias("taxonomy"), "data")).alias("row"))
+
+
+def biom_lines(long: DataFrame, taxonomy: DataFrame, generated_by: str = "biomeframe", date: str = "") -> DataFrame:
+    """``place, line, text``: a BIOM 1.0 document (a sparse taxon table) in lines, to be written in that order.
+
+    Rows are the species with a value other than 0, in order of name, with their lineage joined by name; columns are the samples.
+    Values are sparse triples, so no row of this table grows with the matrix.
+    """
+    from pyspark.sql.window import Window
+
+    values = long.where("value != 0")
+    species = values.select("msp_name").distinct().join(prefixed_taxonomy(taxonomy).select("msp_name", F.split("lineage", ";").alias("taxonomy")), "msp_name", "left")
+    rows = species.withColumn("r", F.row_number().over(Window.orderBy("msp_name")) - 1)  # one row per species
+    cols = long.select("sample").distinct().withColumn("c", F.row_number().over(Window.orderBy("sample")) - 1)  # one row per sample
+    size = rows.agg(F.count(F.lit(1)).alias("nr")).crossJoin(cols.agg(F.count(F.lit(1)).alias("nc")))
+    head = F.to_json(F.struct(
+        F.lit(None).cast("string").alias("id"), F.lit("Biological Observation Matrix 1.0.0").alias("format"), F.lit("http://biom-format.org").alias("format_url"),
+        F.lit("Taxon table").alias("type"), F.lit(generated_by).alias("generated_by"), F.lit(date).alias("date"), F.lit("sparse").alias("matrix_type"),
+        F.lit("float").alias("matrix_element_type"), F.array("nr", "nc").alias("shape"),
+    ))
+    triple = F.concat(F.lit("["), F.col("r").cast("string"), F.lit(","), F.col("c").cast("string"), F.lit(","), F.col("value").cast("string"), F.lit("]"))
+    entry = F.to_json(F.struct(F.col("msp_name").alias("id"), F.struct("taxonomy").alias("metadata")))
+    column = F.concat(F.to_json(F.struct(F.col("sample").alias("id"))), F.lit(""))
+    cells = values.join(F.broadcast(rows.select("msp_name", "r")), "msp_name").join(F.broadcast(cols), "sample")
+    order = F.struct(F.col("r").cast("long"), F.col("c").cast("long"))
+
+    def part(df: DataFrame, place: int, line: F.Column, text: F.Column, last: F.Column) -> DataFrame:
+        return df.select(F.lit(place).alias("place"), line.alias("line"), F.concat(text, F.when(last, "").otherwise(",")).alias("text"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("c"))
+    fixed = lambda place, text: size.select(F.lit(place).alias("place"), zero.alias("line"), text.alias("text"))
+    end = cells.agg(F.max(order).alias("end"))
+    out = fixed(0, F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"rows":[')))
+    out = out.unionByName(part(rows.crossJoin(F.broadcast(size)), 1, F.struct(F.col("r").cast("long"), F.lit(0).cast("long").alias("c")), entry, F.col("r") == F.col("nr") - 1))
+    out = out.unionByName(fixed(2, F.lit('],"columns":[')))
+    out = out.unionByName(part(cols.crossJoin(F.broadcast(size)), 3, F.struct(F.lit(0).cast("long").alias("r"), F.col("c").cast("long")), column, F.col("c") == F.col("nc") - 1))
+    out = out.unionByName(fixed(4, F.lit('],"data":[')))
+    out = out.unionByName(part(cells.crossJoin(F.broadcast(end)), 5, order, triple, order == F.col("end")))
+    return out.unionByName(fixed(6, F.lit("]}")))

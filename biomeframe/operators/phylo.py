@@ -18,10 +18,10 @@ def site_gap_ratio(seqs: DataFrame, gap: str = "N") -> DataFrame:
 
 def clean_sites(seqs: DataFrame, max_gap: float, min_info_sites: int, gap: str = "N") -> DataFrame:
     """Sequences restricted to columns with at most ``max_gap`` gaps; species with too few such columns go."""
-    good = site_gap_ratio(seqs, gap).where(F.col("ratio") <= max_gap)
-    sites = good.groupBy("msp_name").agg(F.array_sort(F.collect_list("pos")).alias("_sites")).where(F.size("_sites") >= min_info_sites)
-    letters = F.array_join(F.transform("_sites", lambda p: F.substring(F.col("seq"), p + 1, 1)), "")
-    return seqs.join(sites, "msp_name").select(*(letters.alias("seq") if c == "seq" else F.col(c) for c in seqs.columns))
+    flags = site_gap_ratio(seqs, gap).groupBy("msp_name").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("ratio") <= max_gap).alias("ok")))).alias("_f"))
+    flags = flags.select("msp_name", F.transform("_f", lambda x: x["ok"]).alias("_ok")).where(F.size(F.filter("_ok", lambda x: x)) >= min_info_sites)
+    letters = F.array_join(F.filter(F.split("seq", ""), lambda c, i: F.coalesce(F.get("_ok", i), F.lit(False))), "")
+    return seqs.join(flags, "msp_name").select(*(letters.alias("seq") if c == "seq" else F.col(c) for c in seqs.columns))
 
 
 def sequence_info(seqs: DataFrame) -> DataFrame:
@@ -31,31 +31,52 @@ def sequence_info(seqs: DataFrame) -> DataFrame:
                        (100.0 * low / F.nullif(n, F.lit(0))).alias("noN_info_pc"), (100.0 * high / F.nullif(n, F.lit(0))).alias("noIUPAC_info_pc"))
 
 
-def _both(a: Column, b: Column, letters: str) -> Column:
-    """Positions where both sequences have one of the letters."""
-    flag = lambda s: F.regexp_replace(F.regexp_replace(F.upper(s), f"[{letters}]", "1"), "[^1]", "0")
-    pairs = F.zip_with(F.split(flag(a), ""), F.split(flag(b), ""), lambda x, y: (x == "1") & (y == "1"))
-    return F.size(F.filter(pairs, lambda x: x))
+#: Letters per word of a bitmap.
+_WORD = 60
+
+
+def _bitmap(seq: Column, letters: str) -> Column:
+    """Words of bits that say where the sequence has one of the letters."""
+    chunks = F.regexp_extract_all(F.upper(seq), F.lit(f"(?s).{{1,{_WORD}}}"), 0)
+    flags = lambda x: F.regexp_replace(F.regexp_replace(x, f"[^{letters}]", "0"), f"[{letters}]", "1")
+    return F.transform(chunks, lambda x: F.conv(flags(x), 2, 10).cast("long"))
+
+
+def _together(a: Column, b: Column) -> Column:
+    """Number of positions that are set in both bitmaps."""
+    both = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    return F.aggregate(both, F.lit(0), lambda acc, x: acc + x)
 
 
 def sequence_pairs(seqs: DataFrame) -> DataFrame:
-    """Pairs of samples of a species with equally long sequences, once each (sample1 < sample2)."""
-    a, b = seqs.alias("a"), seqs.alias("b")
-    on = (F.col("a.msp_name") == F.col("b.msp_name")) & (F.col("a.sample") < F.col("b.sample")) & (F.length("a.seq") == F.length("b.seq"))
-    return a.join(b, on).select("a.msp_name", F.col("a.sample").alias("sample1"), F.col("b.sample").alias("sample2"), F.col("a.seq").alias("seq1"), F.col("b.seq").alias("seq2"))
+    """Pairs of samples of a species with equally long sequences, once each (sample1 < sample2).
+
+    Each sequence is turned once into bitmaps (of each base, and of the letters with any information), a sixteenth
+    to an eighth of a byte per letter and map; pairs carry these, the length and the numbers of informative letters.
+    """
+    one = seqs.select(
+        "msp_name", "sample", F.length("seq").alias("n"), info_count(F.col("seq"), MINIMAL_INFO).alias("low"), info_count(F.col("seq"), MAXIMAL_INFO).alias("high"),
+        _bitmap(F.col("seq"), MINIMAL_INFO).alias("any"), *(_bitmap(F.col("seq"), c).alias(c) for c in "ACGT"),
+    )
+    maps = ["low", "high", "any", *"ACGT"]
+    side = lambda k: one.select("msp_name", "n", F.col("sample").alias(f"sample{k}"), *(F.col(c).alias(f"{c}{k}") for c in maps))
+    return side(1).join(side(2), ["msp_name", "n"]).where("sample1 < sample2")
+
+
+def _cell(x: str, y: str) -> Column:
+    return _together(F.col(f"{x}1"), F.col(f"{y}2"))
 
 
 def pairwise_comparison(seqs: DataFrame, distances: DataFrame | None = None) -> DataFrame:
     """Thirteen-column comparison per pair; distance and category are null without ``distances``."""
-    pairs = sequence_pairs(seqs)
-    n = F.nullif(F.length("seq1"), F.lit(0))
+    n = F.nullif(F.col("n"), F.lit(0))
     pc = lambda x: 100.0 * x / n
-    low, high = _both(F.col("seq1"), F.col("seq2"), MINIMAL_INFO), _both(F.col("seq1"), F.col("seq2"), MAXIMAL_INFO)
+    low, high = _together(F.col("any1"), F.col("any2")), sum((_cell(x, y) for x in "ACGT" for y in "ACGT"), F.lit(0))
+    pairs = sequence_pairs(seqs).withColumn("_low", low).withColumn("_high", high)
     out = pairs.select(
-        "msp_name", "sample1", "sample2", F.length("seq1").alias("total_length"), low.alias("overlap_noN_info_count"), high.alias("overlap_noIUPAC_info_count"),
-        pc(low).alias("overlap_noN_info_pc"), pc(high).alias("overlap_noIUPAC_info_pc"),
-        pc(info_count(F.col("seq1"), MINIMAL_INFO)).alias("noN_info_pc_sample1"), pc(info_count(F.col("seq2"), MINIMAL_INFO)).alias("noN_info_pc_sample2"),
-        pc(info_count(F.col("seq1"), MAXIMAL_INFO)).alias("noIUPAC_info_pc_sample1"), pc(info_count(F.col("seq2"), MAXIMAL_INFO)).alias("noIUPAC_info_pc_sample2"),
+        "msp_name", "sample1", "sample2", F.col("n").alias("total_length"), F.col("_low").alias("overlap_noN_info_count"), F.col("_high").alias("overlap_noIUPAC_info_count"),
+        pc(F.col("_low")).alias("overlap_noN_info_pc"), pc(F.col("_high")).alias("overlap_noIUPAC_info_pc"),
+        pc(F.col("low1")).alias("noN_info_pc_sample1"), pc(F.col("low2")).alias("noN_info_pc_sample2"), pc(F.col("high1")).alias("noIUPAC_info_pc_sample1"), pc(F.col("high2")).alias("noIUPAC_info_pc_sample2"),
     )
     if distances is None:
         return out.withColumn("distance", F.lit(None).cast("double")).withColumn("distance_category", F.lit(None).cast("string"))
@@ -63,16 +84,18 @@ def pairwise_comparison(seqs: DataFrame, distances: DataFrame | None = None) ->
     return out.withColumn("distance_category", F.when(F.col("distance").isNotNull(), distance_category(F.col("distance"))))
 
 
+def pair_cells(pairs: DataFrame) -> DataFrame:
+    """``msp_name, sample1, sample2`` and the number of sites with each pair of bases, as columns AA to TT."""
+    return pairs.select("msp_name", "sample1", "sample2", *(_cell(x, y).alias(x + y) for x in "ACGT" for y in "ACGT"))
+
+
 def pair_counts(pairs: DataFrame) -> DataFrame:
     """Counts over sites where both bases are A, C, G or T: sites, A<->G, C<->T and other differences, and each base."""
-    a, b = F.split(F.upper("seq1"), ""), F.split(F.upper("seq2"), "")
-    both = F.filter(F.zip_with(a, b, lambda x, y: F.concat(x, y)), lambda p: p.rlike("^[ACGT][ACGT]$"))
-    with_sites = pairs.withColumn("_p", both)
-    count = lambda *want: F.size(F.filter("_p", lambda p: p.isin(*want)))
-    base = lambda c: F.size(F.filter("_p", lambda p: F.substring(p, 1, 1) == c)) + F.size(F.filter("_p", lambda p: F.substring(p, 2, 1) == c))
-    return with_sites.select(
-        "msp_name", "sample1", "sample2", F.size("_p").alias("sites"), count("AG", "GA").alias("ag"), count("CT", "TC").alias("ct"),
-        count("AC", "CA", "AT", "TA", "GC", "CG", "GT", "TG").alias("tv"), *(base(c).alias(f"n{c}") for c in "ACGT"),
+    total = lambda cells: sum((F.col(c) for c in cells), F.lit(0))
+    every = [x + y for x in "ACGT" for y in "ACGT"]
+    return pair_cells(pairs).select(
+        "msp_name", "sample1", "sample2", total(every).alias("sites"), total(["AG", "GA"]).alias("ag"), total(["CT", "TC"]).alias("ct"),
+        total(["AC", "CA", "AT", "TA", "GC", "CG", "GT", "TG"]).alias("tv"), *(total([c for p in every for c in [p] * p.count(b)]).alias(f"n{b}") for b in "ACGT"),
     )
 
 
@@ -106,42 +129,36 @@ def tn93_distances(seqs: DataFrame) -> DataFrame:
 
 
 def gtr_distances(seqs: DataFrame) -> DataFrame:
-    """General time-reversible distances by their log-determinant form, per species' pooled frequencies.
+    """General time-reversible distances ``d = -tr(P log(P^-1 F))``, with F the symmetric matrix of pair shares and P its
+    margins; null where F has no real logarithm.
 
-    ``d = -tr(P log(P^-1 F))`` with F the symmetric matrix of pair shares and P its margins; null where F has no
-    real logarithm.  Grouped by pair, so no group grows with the data.
+    For two sequences the model is saturated (nine free values, as many as F has), so this is the maximum of the
+    likelihood where it lies inside the model.  Pair counts are built-in expressions; only 4 x 4 matrices reach Python.
     """
-    pairs = sequence_pairs(seqs)
+    cells = [x + y for x in "ACGT" for y in "ACGT"]
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def distance(counts):
         import numpy as np
+        import pandas as pd
 
-        index = {c: i for i, c in enumerate("ACGT")}
-        for pdf in batches:
-            out = []
-            for s, t in zip(pdf["seq1"], pdf["seq2"]):
-                f = np.zeros((4, 4))
-                for x, y in zip(s.upper(), t.upper()):
-                    if x in index and y in index:
-                        f[index[x], index[y]] += 1
-                f = (f + f.T) / 2
-                total = f.sum()
-                if not total or (f.sum(1) == 0).any():
-                    out.append(0.0 if total and np.trace(f) == total else None)
-                    continue
-                f /= total
-                p = f.sum(1)
-                half = 1 / np.sqrt(p)
-                value, vector = np.linalg.eigh(half[:, None] * f * half[None])
-                if (value <= 0).any():
-                    out.append(None)
-                    continue
-                log = vector @ np.diag(np.log(value)) @ vector.T
-                out.append(max(0.0, float(-(p * np.diag(log)).sum())))
-            yield pdf[["msp_name", "sample1", "sample2"]].assign(distance=np.array(out, float) if None not in out else [np.nan if v is None else v for v in out])
-
-    rows = pairs.mapInPandas(run, "msp_name string, sample1 string, sample2 string, distance double")
-    return rows.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+        f = np.array(counts.tolist(), float).reshape(-1, 4, 4)
+        f = (f + f.transpose(0, 2, 1)) / 2
+        total = f.sum((1, 2))
+        p = f.sum(2) / np.where(total, total, 1)[:, None]
+        same = (total > 0) & (np.trace(f, axis1=1, axis2=2) == total)
+        out = np.where(same, 0.0, np.nan)
+        full = np.flatnonzero((p > 0).all(1))
+        if len(full):
+            half = 1 / np.sqrt(p[full])
+            value, vector = np.linalg.eigh(half[:, :, None] * f[full] / total[full, None, None] * half[:, None])
+            log = np.einsum("nij,nj,nij->ni", vector, np.log(np.maximum(value, 1e-300)), vector)
+            d = np.maximum(0.0, -(p[full] * log).sum(1))
+            out[full] = np.where((value > 0).all(1), d, np.nan)
+        return pd.Series([None if v != v else float(v) for v in out], dtype=object)
+
+    pairs = pair_cells(sequence_pairs(seqs)).withColumn("_c", F.array(*(F.col(c).cast("double") for c in cells)))
+    return pairs.select("msp_name", "sample1", "sample2", distance("_c").alias("distance"))
 
 
 def upgma(names: list[str], matrix) -> list[tuple[str, str, float, int]]:

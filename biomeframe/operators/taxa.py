@@ -20,16 +20,24 @@ def default_msp_filter(database_type: str, value: float | None = None) -> float:
     return 0.1 if database_type == "complete" else 0.2
 
 
-def msp_abundance(counts: DataFrame, core: DataFrame, msp_filter: float) -> DataFrame:
+def msp_abundance(counts: DataFrame, core: DataFrame, msp_filter: float, genes: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
     """``sample, msp_name, value``: mean over core genes, or 0 where too few of them are detected.
 
-    The detection ratio is over all core genes; the mean is over those present in the count table.
+    The detection ratio is over all core genes; the mean is over those present in the count table.  With ``genes``, the
+    catalogue, the count table may leave out zeros; its core genes are then the ones in the catalogue.  Species without
+    a count are 0 in each sample (of ``samples``, by default those of the count table).
     """
-    samples = counts.select("sample").distinct()
-    wanted = samples.join(F.broadcast(core))
-    found = wanted.join(counts.select("sample", "gene_id", "value"), ["sample", "gene_id"], "left")
-    got = found.groupBy("sample", "msp_name").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("value") > 0).alias("_d"), F.avg("value").alias("_m"))
-    return got.select("sample", "msp_name", F.when(F.col("_d") / F.col("_n") >= msp_filter, F.coalesce("_m", F.lit(0.0))).otherwise(0.0).alias("value"))
+    sizes = core.groupBy("msp_name").agg(F.count(F.lit(1)).alias("_n"))
+    if genes is not None:
+        here = core.join(genes.select("gene_id"), "gene_id", "left_semi").groupBy("msp_name").agg(F.count(F.lit(1)).alias("_in"))
+        sizes = sizes.join(here, "msp_name", "left")
+    got = counts.select("sample", "gene_id", "value").join(core, "gene_id").groupBy("sample", "msp_name")
+    got = got.agg(F.count_if(F.col("value") > 0).alias("_d"), F.sum("value").alias("_v"), F.count("value").alias("_c"))
+    every = sizes.join(F.broadcast((counts if samples is None else samples).select("sample").distinct()))  # one row per sample
+    out = every.join(got, ["sample", "msp_name"], "left")
+    mean = F.col("_v") / F.nullif(F.col("_c") if genes is None else F.col("_in"), F.lit(0))
+    enough = F.coalesce("_d", F.lit(0)) / F.col("_n") >= msp_filter
+    return out.select("sample", "msp_name", F.when(enough, F.coalesce(mean, F.lit(0.0))).otherwise(0.0).alias("value"))
 
 
 def msp_stats(counts: DataFrame, msp: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# Names of modes, and the defaults of the parameters below.
 COUNTING = ("total", "smart_shared", "unique")
 MAPPING = ("end-to-end", "local")
 NORMALIZATION = ("coverage", "fpkm", "raw")

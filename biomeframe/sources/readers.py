@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from biomeframe.functions.alignment import mapping_totals
+
 COUNTS = "gene_id long, gene_length int, value double"
 MSP = "msp_name string, gene_id long, gene_name string, gene_category string"
 ANNOTATION = "gene_id long, gene_name string, annotation string"
@@ -68,18 +70,9 @@ def _read_feather(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, kind)
 
 
-def with_order(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``ord``: the rank by a stable key, for operators that depend on file order."""
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(*keys)))
-
-
 def read_msp(spark: SparkSession, path: str) -> DataFrame:
-    """Species definition with ``ord``, the place in the file.
-
-    The table is a catalogue (some million rows); its lines are numbered once at ingestion.
-    """
-    rows = read_tsv(spark, path, MSP)
-    return rows.withColumn("_i", F.monotonically_increasing_id()).withColumn("ord", F.row_number().over(Window.orderBy("_i"))).drop("_i")
+    """Species definition with ``ord``, which grows along the file (numbers may be left out)."""
+    return read_tsv(spark, path, MSP).withColumn("ord", F.monotonically_increasing_id())
 
 
 def read_fasta(spark: SparkSession, path: str, int_ids: bool = False) -> DataFrame:
@@ -91,8 +84,9 @@ def read_fasta(spark: SparkSession, path: str, int_ids: bool = False) -> DataFra
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), "\n")
         records = lines.groupBy("path", "_r").agg(F.substring(text, 2, 2_000_000_000).alias("value"))
     else:
-        records = spark.read.text(path, lineSep=">").where("value != ''")
-    header = F.regexp_extract("value", r"^([^\n]*)", 1)
+        # A record ends at a line that starts with ">"; elsewhere the character belongs to a header.
+        records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("value")).where("value != ''")
+    header = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     out = records.select(F.regexp_extract(header, r"^(\S*)", 1).alias("id"), seq.alias("seq")).where("seq != ''")
     return out.withColumn("id", F.col("id").cast("long")) if int_ids else out
@@ -146,6 +140,39 @@ def single_file(census: DataFrame) -> DataFrame:
     return census
 
 
+def unique_census(census: DataFrame) -> DataFrame:
+    """The census, if there is one, each folder has one file, and each sample name stands in one file; else an error."""
+    names = F.when(F.col("section") == "sample_info", F.col("fields")["sample_name"])
+    files = census.groupBy("path").agg(F.max(names).alias("sample")).withColumn("folder", F.regexp_extract("path", r"^(.*)/", 1))
+    n, folders, samples, named = files.agg(F.count(F.lit(1)), F.countDistinct("folder"), F.countDistinct("sample"), F.count("sample")).first()
+    if not n:
+        raise ValueError("no metadata file found")
+    if folders < n:
+        raise ValueError("a folder has several metadata files")
+    if samples < named:
+        raise ValueError("several metadata files name one sample")
+    return census
+
+
+def aligner_totals(spark: SparkSession, path: str) -> DataFrame:
+    """``sample, total_reads`` of aligners' summaries, one file per sample (named by it); files of unfinished runs are left out."""
+    logs = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("sample"), mapping_totals(F.col("value")).alias("n"))
+    return logs.where("n is not null").select("sample", F.get("n", 0).alias("total_reads"))
+
+
+def sequence_files(spark: SparkSession, path: str, pattern: str = "*.fasta.xz") -> DataFrame:
+    """``path, sample`` (the folder) of sequence files below path; consensus files of single genes are left out."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    return reader.load(path).select("path", F.element_at(F.split("path", "/"), -2).alias("sample")).where(~F.col("path").endswith("_consensus.fasta.xz"))
+
+
+def one_file_per_sample(files: DataFrame) -> DataFrame:
+    """The files, if no sample has several; else an error."""
+    if (many := files_per_sample(files).select("sample").limit(5).collect()):
+        raise ValueError("several files of one sample: " + ", ".join(r["sample"] for r in many))
+    return files
+
+
 def find_reads(spark: SparkSession, path: str) -> DataFrame:
     """Paths and names of read files below path."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{fq,fastq,fq.gz,fastq.gz,fq.bz2,fastq.bz2,fq.xz,fastq.xz}")

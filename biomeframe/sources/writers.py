@@ -18,6 +18,30 @@ def write_by_sample(df: DataFrame, path: str, order: list[str] | None = None) ->
     df.write.mode("overwrite").partitionBy("sample").parquet(path)
 
 
+def write_alignments(aln: DataFrame, path: str) -> None:
+    """Alignments in coordinate order: files hold ranges of genes, sorted by gene and place, so that a gene's rows are found by the files' statistics."""
+    aln.repartitionByRange("gene_id", "pos").sortWithinPartitions("gene_id", "pos").write.mode("overwrite").parquet(path)
+
+
+def write_tsv(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Tab-separated with a header, one file per sample if there is such a column."""
+    writer = df.repartition("sample") if "sample" in df.columns else df
+    out = writer.write.mode("overwrite")
+    out = out.partitionBy("sample") if "sample" in df.columns else out
+    out.csv(path, sep="\t", header=True, compression=compression)
+
+
+def write_biom(lines: DataFrame, path: str) -> None:
+    """A BIOM document from :func:`merge.biom_lines`; its lines stream through one task."""
+    lines.repartition(1).sortWithinPartitions("place", "line").select("text").write.mode("overwrite").text(path)
+
+
+def write_chunks(genes: DataFrame, chunks: DataFrame, path: str) -> None:
+    """BED lines of the species' genes, one folder per chunk (``msp_name, chunk``)."""
+    bed = genes.join(chunks, "msp_name").select("chunk", F.concat_ws("\t", F.col("gene_id").cast("string"), F.lit("0"), F.col("gene_length").cast("string")).alias("value"))
+    bed.distinct().write.mode("overwrite").partitionBy("chunk").text(path)
+
+
 def write_matrix(df: DataFrame, path: str) -> None:
     """Tab-separated with a header; nulls are written empty."""
     df.write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="", emptyValue="")

@@ -1,6 +1,7 @@
 """Depth, run lengths, consensus and strain plans."""
 
 import random
+import re
 from itertools import groupby
 
 import pytest
@@ -36,7 +37,28 @@ def test_depth_cap_and_flags(spark):
     assert runs_of(spark, [(0, 5)] * 4, 10, 3) == [(0, 5, 3), (5, 10, 0)]
     rows = [("s", 1, 0, "5M", 0), ("s", 1, 2, "3M2D1M", 0x100), ("s", 1, 1, "2M1N2M", 16)]
     got = depth.segments_of(spark.createDataFrame(rows, "sample string, gene_id long, pos int, cigar string, flag int")).collect()
-    assert sorted((r["startpos"], r["endpos"]) for r in got) == [(0, 5), (1, 6)]
+    assert sorted((r["startpos"], r["endpos"]) for r in got) == [(0, 5), (1, 3), (4, 6)]  # a skip has no depth
+    assert sum(r["reads"] for r in got) == 2
+
+
+def test_depth_against_a_walk_over_cigars(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        ops = [(rng.randrange(1, 6), rng.choice("MMMMDNIS=X")) for _ in range(rng.randrange(1, 6))]
+        rows.append(("s", 1, rng.randrange(0, 30), "".join(f"{n}{o}" for n, o in ops), 0))
+    want = [0] * 80
+    for _, _, at, cigar, _ in rows:
+        for n, o in [(int(x[:-1]), x[-1]) for x in re.findall(r"\d+[A-Z=]", cigar)]:
+            for p in range(at, at + n) if o in "M=X" else ():
+                want[p] += 1
+            at += n if o in "MDN=X" else 0
+    segments = depth.segments_of(spark.createDataFrame(rows, "sample string, gene_id long, pos int, cigar string, flag int"))
+    genes = spark.createDataFrame([(1, 80)], GENES)
+    runs = depth.depth_runs(segments, genes)
+    got = {r["pos"]: r["depth"] for r in depth.depth_per_position(runs).collect()}
+    assert [got[p] for p in range(80)] == want
+    assert depth.gene_coverage(runs, segments, genes).first()["numreads"] == sum(any(o in c for o in "M=X") for _, _, _, c, _ in rows)
 
 
 def test_low_coverage_intervals(spark):
