@@ -97,7 +97,7 @@ def biom_lines(long: DataFrame, taxonomy: DataFrame, generated_by: str = "biomef
     entry = F.to_json(F.struct(F.col("msp_name").alias("id"), F.struct("taxonomy").alias("metadata")))
     column = F.concat(F.to_json(F.struct(F.col("sample").alias("id"))), F.lit(""))
     cells = values.join(F.broadcast(rows.select("msp_name", "r")), "msp_name").join(F.broadcast(cols), "sample")
-    order = F.struct(F.col("r").cast("long"), F.col("c").cast("long"))
+    order = F.struct(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
 
     def part(df: DataFrame, place: int, line: F.Column, text: F.Column, last: F.Column) -> DataFrame:
         return df.select(F.lit(place).alias("place"), line.alias("line"), F.concat(text, F.when(last, "").otherwise(",")).alias("text"))
@@ -106,9 +106,9 @@ def biom_lines(long: DataFrame, taxonomy: DataFrame, generated_by: str = "biomef
     fixed = lambda place, text: size.select(F.lit(place).alias("place"), zero.alias("line"), text.alias("text"))
     end = cells.agg(F.max(order).alias("end"))
     out = fixed(0, F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"rows":[')))
-    out = out.unionByName(part(rows.crossJoin(F.broadcast(size)), 1, F.struct(F.col("r").cast("long"), F.lit(0).cast("long").alias("c")), entry, F.col("r") == F.col("nr") - 1))
+    out = out.unionByName(part(rows.crossJoin(F.broadcast(size)), 1, F.struct(F.col("r").cast("long").alias("r"), F.lit(0).cast("long").alias("c")), entry, F.col("r") == F.col("nr") - 1))
     out = out.unionByName(fixed(2, F.lit('],"columns":[')))
-    out = out.unionByName(part(cols.crossJoin(F.broadcast(size)), 3, F.struct(F.lit(0).cast("long").alias("r"), F.col("c").cast("long")), column, F.col("c") == F.col("nc") - 1))
+    out = out.unionByName(part(cols.crossJoin(F.broadcast(size)), 3, F.struct(F.lit(0).cast("long").alias("r"), F.col("c").cast("long").alias("c")), column, F.col("c") == F.col("nc") - 1))
     out = out.unionByName(fixed(4, F.lit('],"data":[')))
     out = out.unionByName(part(cells.crossJoin(F.broadcast(end)), 5, order, triple, order == F.col("end")))
     return out.unionByName(fixed(6, F.lit("]}")))

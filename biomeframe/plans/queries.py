@@ -49,12 +49,18 @@ def _covered(s: SparkSession, d: str) -> DataFrame:
     return normalize.normalize_coverage(_counts(s, d), v.TRIM)
 
 
+def _covered_sparse(s: SparkSession, d: str) -> DataFrame:
+    """Normalised counts without zeros, for steps to which a zero makes no difference."""
+    counts = counting.sparse_counts(v.alignments(s, d), v.THRESHOLD).join(v.genes(s, d), "gene_id")
+    return normalize.normalize_coverage(counts, v.TRIM)
+
+
 def _core(s: SparkSession, d: str) -> DataFrame:
     return taxa.core_genes(v.msp(s, d), v.CORE_SIZE)
 
 
 def _species(s: SparkSession, d: str) -> DataFrame:
-    return taxa.msp_abundance(_covered(s, d), _core(s, d), v.MSP_FILTER)
+    return taxa.msp_abundance(_covered_sparse(s, d), _core(s, d), v.MSP_FILTER, v.genes(s, d), v.alignments(s, d))
 
 
 def _runs(s: SparkSession, d: str) -> DataFrame:
@@ -78,7 +84,7 @@ completeness AS (SELECT sample, msp_name, mod_id, max(len(list_intersect(terms,
 
 def _completeness(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     species = _species(s, d)
-    info = functional.catalogue_info(_covered(s, d), v.msp(s, d), v.supplier_terms(s, d), species)
+    info = functional.catalogue_info(_covered_sparse(s, d), v.msp(s, d), v.supplier_terms(s, d), species)
     return functional.module_completeness(info, _alternatives(s)), species
 
 
@@ -232,7 +238,7 @@ def ko_gene_sum(s, d):
     LEFT JOIN y ON y.sample = s.sample AND y.annotation = a.annotation""",
 )
 def ko_msp_sum(s, d):
-    return _round(functional.abundance_by_species(_covered(s, d), v.msp(s, d), v.supplier_terms(s, d), _species(s, d)), "value")
+    return _round(functional.abundance_by_species(_covered_sparse(s, d), v.msp(s, d), v.supplier_terms(s, d), _species(s, d)), "value")
 
 
 @register("ko_stats_gene", """SELECT sample, round_even(sum(CASE WHEN t.gene_id IS NOT NULL THEN value ELSE 0 END) / nullif(sum(value), 0), 6) AS signal,
@@ -255,7 +261,7 @@ def annotation_union(s, d):
 
 @register("catalogue_info", "SELECT sample, msp_name, annotation FROM info")
 def catalogue_info(s, d):
-    return functional.catalogue_info(_covered(s, d), v.msp(s, d), v.supplier_terms(s, d), _species(s, d))
+    return functional.catalogue_info(_covered_sparse(s, d), v.msp(s, d), v.supplier_terms(s, d), _species(s, d))
 
 
 @register("module_alternatives", f"WITH {_alternatives_sql()} SELECT mod_id, CAST(alt_id AS INT) AS alt_id, array_to_string(terms, '+') AS terms FROM alts", ctes=False)
@@ -426,9 +432,9 @@ def iupac_encode(s, d):
     return consensus.variant_bases(v.variants(s, d), 0.8)
 
 
-@register("mask_intervals", "SELECT sample, gene_id, count(*) AS n FROM (SELECT sample, gene_id, unnest(generate_series(0, 219, 7)) AS pos FROM (SELECT DISTINCT sample, gene_id FROM segments)) p WHERE EXISTS (SELECT 1 FROM runs r WHERE r.depth < 3 AND r.sample = p.sample AND r.gene_id = p.gene_id AND p.pos >= r.startpos AND p.pos < r.endpos) GROUP BY 1, 2")
+@register("mask_intervals", "SELECT sample, gene_id, count(*) AS n FROM (SELECT sample, gene_id, unnest(generate_series(0, 219)) AS pos FROM (SELECT DISTINCT sample, gene_id FROM segments)) p WHERE EXISTS (SELECT 1 FROM runs r WHERE r.depth < 3 AND r.sample = p.sample AND r.gene_id = p.gene_id AND p.pos >= r.startpos AND p.pos < r.endpos) GROUP BY 1, 2")
 def mask_intervals(s, d):
-    positions = v.segments(s, d).select("sample", "gene_id").distinct().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(219), F.lit(7))))
+    positions = v.segments(s, d).select("sample", "gene_id").distinct().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(219))))
     inside = consensus.mask_positions(positions, depth.low_coverage_intervals(_runs(s, d), 3))
     return inside.groupBy("sample", "gene_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -573,11 +579,10 @@ def sample_name_parse(s, d):
     return sup.select("s_suppkey", sequence.sample_name(name, paired=True).alias("sample"), sequence.pair_tag(name).alias("tag"))
 
 
-@register("renumber_genes", """SELECT row_number() OVER (ORDER BY doc_id) AS gene_id, 'g' || doc_id AS gene_name, length(substr(text, 1, CAST(doc_id % 5 AS INT))) AS gene_length, substr(text, 1, CAST(doc_id % 5 AS INT)) AS seq
-    FROM documents WHERE length(substr(text, 1, CAST(doc_id % 5 AS INT))) > 0""", ctes=False)
+@register("renumber_genes", """SELECT row_number() OVER (ORDER BY doc_id) AS gene_id, 'g' || doc_id AS gene_name, length(text) AS gene_length, text AS seq FROM documents WHERE length(text) > 0""", ctes=False)
 def renumber_genes(s, d):
     docs = v.table(s, d, "documents")
-    records = docs.select(F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("id"), F.expr("substring(text, 1, cast(doc_id % 5 as int))").alias("seq"), F.col("doc_id").alias("ord"))
+    records = docs.select(F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("seq"), F.col("doc_id").alias("ord"))
     return writers.renumber_genes(records).withColumn("gene_length", F.col("gene_length").cast("long"))
 
 
@@ -600,3 +605,6 @@ def cigar_length(s, d):
 def wrap_sequence(s, d):
     seq = F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("x"))), F.md5(F.concat("text", F.lit("y"))))
     return v.table(s, d, "documents").where("text is not null").select("doc_id", sequence.wrap(seq).alias("seq"))
+
+
+from biomeframe.plans import queries_more  # noqa: E402, F401
