@@ -89,13 +89,18 @@ def resolve(target: Column, url: Column) -> Column:
 def page_edges(pages: DataFrame) -> DataFrame:
     """``(src, dst)`` between a page's URL and its canonical link or refresh target, where there is one.
 
+    Null urls and html give no edge, repeated ones give one.
+
     Character references in targets are decoded, and relative targets are resolved against the page's URL.
     """
     link = F.regexp_extract(F.regexp_extract("html", LINK, 0), HREF, 1)
     refresh = F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1)
     found = pages.where("url is not null and html is not null").where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
     found = found.select("url", F.explode(F.array(link, refresh)).alias("to")).where("to != ''")
-    return found.select(node_of(F.col("url")).alias("src"), resolve(unescape(F.col("to")), F.col("url")).alias("dst")).where("src != dst").distinct()
+    # The table of names is a large literal: the cut keeps the plans from holding it at each use of the target.
+    found = cut(found.select("url", unescape(F.col("to")).alias("to")))
+    found = found.select(node_of(F.col("url")).alias("src"), resolve(F.col("to"), F.col("url")).alias("dst")).distinct()
+    return found.where("src != dst")
 
 
 def rule_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
