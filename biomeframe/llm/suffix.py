@@ -80,23 +80,26 @@ def _steps(window: int, gram: int) -> list[tuple[str, int, int, int, int]]:
     return [*steps, ("k00", 0, two, 0, window - two), ("k01", window - two + 1, one, window - two + 1, window - one)]
 
 
-_WANTED = ("h", "a", "pos", "left", "right", "low", "high")
+#: What is wanted of a document travels as flat arrays: the anchors, their places, and four numbers up to the window in a long.
+_FOUR = ("left", "right", "low", "high")
+_BITS = 15
 _OUT = {
     "words": "a long, pos int, left int, right int, low int, high int, words binary",
-    "keys": "a long, pos int, left int, right int, k0 long, k1 long, k00 long, k01 long",
+    "keys": "a long, pos int, left int, right int, k0 long, c0 long, k1 long, c1 long, k00 long, c00 long, k01 long, c01 long",
     "windows": "a long, fp long, s int",
 }
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame, window: int, mode: str, gram: int = GRAM) -> DataFrame:
     """For the wanted anchors of each document: the words (as hashes) around them, or the keys of their longer prefixes
-    (0 for none), or one row per window; with doc_id and h."""
+    (0 for none) with hashes of all words that their windows reach, or one row per window; with doc_id and h."""
     steps = _steps(window, gram)
     schema = _OUT[mode] + ", doc_id long, h long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def rows(b, i: int, want: dict[str, np.ndarray], sums: np.ndarray) -> list:
-        a, pos, left, right, low, high = (want[k] for k in _WANTED[1:])
+        a, pos = want["a"], want["pos"]
+        left, right, low, high = ((want["four"] >> (_BITS * k)) & ((1 << _BITS) - 1) for k in range(4))
         at = b.wfirst[i] + pos
         if mode == "windows":
             o = np.arange(int(high.max()) + 1)[None]
@@ -109,35 +112,35 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, window: int, mode: str, gr
                 has = (left >= before) & (right >= after) & (first <= last)
                 key = np.zeros(len(a), np.int64)
                 key[has] = signed(span_of(sums, at[has] - before, at[has] + after))
-                keys.append(key)
+                l, r = np.minimum(left, last), np.minimum(right, window - first)
+                keys += [key, signed(mix(span_of(sums, at - l, at + r) ^ mix(((l << 20) + r).astype(np.uint64))))]
             return [a, pos, left, right, *keys]
-        left = np.minimum(left, high)
+        left, right = np.minimum(left, high), np.minimum(right, window - low)
         return [a, pos, left, right, low, high, [b.words[p - x : p + y].tobytes() for p, x, y in zip(at, left, right)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wants = batch.column(0), batch.column(2)
+            ids, hashes = batch.column(0), batch.column(2).to_numpy()
             for b in blocks(batch.column(1), NON_SPACE, False):
                 sums = window_sums(b.words)
                 whole = signed(span_of(sums, b.wfirst[:-1], b.wfirst[1:]))
                 out: list[list] = [[] for _ in names]
-                for i in range(b.n):
-                    own = wants[b.first + i].values
-                    want = {k: own.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j, k in enumerate(_WANTED)}
-                    keep = want["h"] == whole[i]
-                    if not keep.any():
-                        continue
-                    cols = rows(b, i, {k: x[keep] for k, x in want.items()}, sums)
+                for i in np.flatnonzero(whole == hashes[b.first : b.last]):
+                    want = {k: batch.column(j)[int(b.first + i)].values.to_numpy(zero_copy_only=False).astype(np.int64) for j, k in ((3, "a"), (4, "pos"), (5, "four"))}
+                    cols = rows(b, i, want, sums)
                     n = len(cols[0])
-                    for to, x in zip(out, [*cols, np.full(n, ids[b.first + i].as_py()), np.full(n, whole[i])]):
+                    for to, x in zip(out, [*cols, np.full(n, ids[int(b.first + i)].as_py()), np.full(n, whole[i])]):
                         to.append(x)
                 flat = [[w for x in out[k] for w in x] if f.name == "words" else (np.concatenate(out[k]) if out[k] else np.zeros(0, np.int64)) for k, f in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(flat, kinds)], names=names)
 
     types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     kinds = [pa.field(x.split()[0], types[x.split()[1]]) for x in schema.split(", ")]
-    lists = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*_WANTED)).alias("wants")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(lists, BROADCAST_DOCS), "doc_id").select("doc_id", "text", "wants").mapInArrow(run, schema)
+    four = sum((F.shiftleft(F.col(c).cast("long"), _BITS * k) for k, c in enumerate(_FOUR)), F.lit(0).cast("long"))
+    lists = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", F.col("pos").cast("int").alias("pos"), four.alias("four"))).alias("w"))
+    lists = cut(lists.select("doc_id", "h", "w.a", "w.pos", "w.four"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(small(lists, BROADCAST_DOCS), "doc_id").select("doc_id", "text", "h", "a", "pos", "four").mapInArrow(run, schema)
 
 
 def subtree_repeats(
@@ -222,22 +225,28 @@ def _subtrees(surroundings: DataFrame, window: int) -> DataFrame:
     return surroundings.repartition(n, "a").sortWithinPartitions("a").mapInArrow(run, "doc_id long, h long, s int, e int")
 
 
-def _lengthen(keyed: DataFrame, window: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups that longer prefixes make fit, with the prefix's key as ``a``; and rows of those that stay too large."""
+def _lengthen(keyed: DataFrame, window: int, gram: int, group: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of groups that longer prefixes make fit, with the prefix's key as ``a``; rows of those that stay too large; and
+    the ranges ``doc_id, h, s, e`` of occurrences whose windows all start in the least document of their class too."""
     columns = ["doc_id", "h", "pos", "left", "right"]
+    deeper = ["k00", "c00", "k01", "c01"]
     steps = {name: (first, last) for name, _, _, first, last in _steps(window, gram)}
+    out = ["doc_id", "h", "a", "pos", "left", "right", "low", "high"]
 
-    def split(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-        parts = F.explode(F.array(*(F.struct(F.lit(n).alias("step"), F.col(n).alias("a"), F.lit(steps[n][0]).alias("low"), F.lit(steps[n][1]).alias("high")) for n in names)))
-        rows = cut(rows.withColumn("x", parts).select(*columns, "k00", "k01", "x.*").where("a != 0"))
-        sizes = cut(rows.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a", "size"))
-        rows = rows.join(small(sizes), "a")
-        return rows.where(F.col("size") <= group), rows.where(F.col("size") > group)
+    def split(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+        part = lambda n: F.struct(F.lit(n).alias("step"), F.col(n).alias("a"), F.col(f"c{n[1:]}").alias("c"), F.lit(steps[n][0]).alias("low"), F.lit(steps[n][1]).alias("high"))
+        rows = rows.withColumn("x", F.explode(F.array(*map(part, names)))).select(*columns, *deeper, "x.*").where("a != 0")
+        classes = rows.groupBy("a", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        sizes = classes.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("x"), F.max("most").alias("y")).where("x < y")
+        rows = rows.join(small(cut(sizes.select("a", "size"))), "a").join(small(cut(classes.where("least < most").drop("most"))), ["a", "c"], "left")
+        start, end = F.col("pos") - F.least("left", "high"), F.col("pos") + F.least("right", F.lit(window) - F.col("low"))
+        same = rows.where("doc_id > least").select("doc_id", "h", start.alias("s"), end.alias("e")).where(F.col("e") - F.col("s") >= window)
+        first = rows.where("doc_id <= coalesce(least, doc_id) and size > 1")
+        return first.where(F.col("size") <= group).select(*out), cut(first.where(F.col("size") > group).select(*out, *deeper, "step")), same
 
-    out = ["doc_id", "h", "a", "pos", "left", "right", "low", "high"]
-    fits, large = split(keyed.drop("a"), ["k0", "k1"])
-    more, still = split(large.where("step = 'k0'").select(*columns, "k00", "k01"), ["k00", "k01"])
-    return fits.select(*out).unionByName(more.select(*out)), cut(large.where("step != 'k0'").select(*out).unionByName(still.select(*out)))
+    fits, large, same = split(keyed.drop("a"), ["k0", "k1"])
+    more, still, again = split(large.where("step = 'k0'").drop("a", "low", "high", "step"), ["k00", "k01"])
+    return fits.unionByName(more), large.where("step != 'k0'").select(*out).unionByName(still.select(*out)), same.unionByName(again)
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -268,8 +277,9 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group:
     fitting = apart.where(F.col("classes") <= group).drop("classes")
     hot = cut(apart.where(F.col("classes") > group).drop("classes"))
     if not hot.isEmpty():
-        more, large = _lengthen(cut(_surroundings(docs, hot, window, "keys", gram)), window, gram, group)
+        more, large, same = _lengthen(cut(_surroundings(docs, hot, window, "keys", gram)), window, gram, group)
         fitting = fitting.unionByName(more)
+        ranges.append(same)
         if not large.isEmpty():
             suffixes = cut(_surroundings(docs, large, window, "windows"))
             nodes = suffixes.groupBy("a", "fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least")
@@ -288,13 +298,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     Null and empty texts have no words; a row with a null doc_id keeps all its words; further columns are ignored.
     """
     ranges = find_repeats(docs, window, gram, group)
-    lists = cut(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("h", "s", "e")).alias("ranges")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(lists, BROADCAST_DOCS), "doc_id", "left").select("doc_id", "text", "ranges")
+    lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("h", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))).alias("r"))
+    lists = cut(lists.select("doc_id", "r.h", "r.s", "r.e"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(lists, BROADCAST_DOCS), "doc_id", "left").select("doc_id", "text", "h", "s", "e")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lists = batch.column(1), batch.column(2)
-            for b in blocks(texts, NON_SPACE, False):
+            for b in blocks(batch.column(1), NON_SPACE, False):
                 sums = window_sums(b.words)
                 whole = signed(span_of(sums, b.wfirst[:-1], b.wfirst[1:]))
                 counts = b.counts
@@ -302,9 +312,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
                 kept = []
                 for i in range(b.n):
                     words = b.raw[b.offsets[i] : b.offsets[i + 1]].tobytes().split()
-                    own = lists[b.first + i].values
-                    if own is not None and len(own):
-                        h, s, e = (own.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                    own = [batch.column(k)[b.first + i].values for k in (2, 3, 4)]
+                    if own[0] is not None and len(own[0]):
+                        h, s, e = (x.to_numpy(zero_copy_only=False) for x in own)
                         mine = h == whole[i]
                         gone = cover(s[mine].astype(np.int64), (e - s)[mine].astype(np.int64), len(words))
                         removed[i] = gone.sum()
