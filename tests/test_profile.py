@@ -8,11 +8,12 @@ from biomeframe.operators import functional, normalize, taxa
 from biomeframe.plans.config import MappingConfig, ProfileConfig
 from biomeframe.plans.workflows import profile_samples
 
+# The small catalogue of twenty genes whose results, below, are known numbers.
 LENGTHS = [1000, 2000, 1500, 1000, 1000, 1000, 1000, 1000, 1000, 1000, 500, 750, 1000, 200, 100, 1000, 300, 200, 1000, 2000]
 VALUES = [0, 20.3, 0.4, 49.8, 100.9, 10.1, 10, 0, 27.3, 0.2, 153, 12.4, 1.2, 0.9, 0, 0.5, 300, 75.3, 23, 27]
 SPECIES = {"standard": ([5, 17, 18, 11, 4], [20]), "undetected": ([10, 15, 1, 13, 6], [14]), "small": ([13, 14, 10], [1]), "small_nd": ([3, 19, 8], [2])}
 TERMS = [(1, 1), (2, 2), (4, 3), (5, 4), (6, 3), (6, 5), (7, 6), (10, 7), (11, 2), (13, 8), (17, 2), (20, 8)]
-MODULES = {"mod1": "ARD1,ARD2", "mod2": "K8,K9", "mod3": "(K2 K3 K4),K1,(K2 K4),(K1 K8)", "mod4": "fonction1 fonction2"}
+MODULES = {"mod1": "ARD1,ARD2", "mod2": "K8,K9", "mod3": "(K2 K3 K4),K1,(K2 K4),(K1 K8)", "mod4": "first second"}
 
 
 @pytest.fixture(scope="module")
