@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from biomeframe.functions.sequence import RANK_PREFIXES, rank_prefixed
 
+#: Part of a threshold by which a sum of doubles may miss it: the last bits of a sum differ with the order of addition.
+SLACK = 1e-12
+
 
 def filter_rows(long: DataFrame, keys: list[str], min_abundance: float = 0.0, min_occurrence: int = 1) -> DataFrame:
-    """Keys whose sum over samples is at least ``min_abundance`` and that are nonzero in ``min_occurrence`` samples."""
+    """Keys whose sum over samples is at least ``min_abundance`` and that are nonzero in ``min_occurrence`` samples.
+
+    Sums of doubles reach ``min_abundance`` if they are short of it by no more than ``SLACK`` of it; other sums are exact.
+    """
+    if isinstance(long.select("value").schema[0].dataType, (DoubleType, FloatType)):
+        min_abundance *= 1 - math.copysign(SLACK, min_abundance)
     kept = long.groupBy(*keys).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("_s"), F.count_if(F.col("value") != 0).alias("_n"))
     kept = kept.where((F.col("_s") >= min_abundance) & (F.col("_n") >= min_occurrence)).select(*keys)
     return long.join(kept, keys, "left_semi")

@@ -1,7 +1,10 @@
 """Readers, writers, streaming and merging."""
 
+import functools
 import gzip
+import itertools
 import lzma
+import operator
 
 import pyarrow as pa
 import pyarrow.feather
@@ -95,6 +98,19 @@ def test_merge(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_merge_threshold(spark):
+    # Reads 1, 1, 2, 6.6, 7, 2 of a gene of 111 bases: 50 in all, but 49.99999999999999 in some orders of addition.
+    values = [100.0 * reads * 4 * 80 / (112 * 112) for reads in (1.0, 1.0, 2.0, 6.6, 7.0, 2.0)]
+    orders = list(itertools.permutations(values))
+    assert min(functools.reduce(operator.add, order) for order in orders) < 50
+    rows = [(f"s{i}", gene, x) for gene, order in enumerate([*orders, [50 - 1e-9, 0.0]]) for i, x in enumerate(order)]
+    df = spark.createDataFrame(rows, LONG).coalesce(1)
+    kept = merge.filter_rows(df, ["gene_id"], 50, 1).select("gene_id").distinct().collect()
+    assert sorted(r["gene_id"] for r in kept) == list(range(len(orders)))
+    whole = spark.createDataFrame([("a", 1, 10**14), ("a", 2, 10**14 - 1)], "sample string, gene_id long, value long")
+    assert [r["gene_id"] for r in merge.filter_rows(whole, ["gene_id"], 10**14).collect()] == [1]
+
+
 def test_merge_empty(spark):
     assert merge_tables(spark.createDataFrame([], LONG), ["gene_id"]).collect() == []
 
